@@ -1,0 +1,13 @@
+"""Plain text tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    lines.select("value").write.mode("overwrite").text(path)
