@@ -9,6 +9,7 @@ from fleetfold import schema as S
 from fleetfold.operators.conf import settings_by_app
 from fleetfold.operators.keyed import SALTS, prefix_totals, salted_lookup
 from fleetfold.operators.names import bundle_name
+from fleetfold.sources.scratch import materialize
 
 
 def utf16_units(text: Column) -> Column:
@@ -20,9 +21,7 @@ def utf16_units(text: Column) -> Column:
 def measure_files(files: DataFrame, budget: int = S.BUNDLE_BUDGET) -> DataFrame:
     """``size`` orders files (name length + bytes), ``cost`` fills the budget (chars).
 
-    Files over the budget and undecodable ones (null content) take no part. The
-    narrow result is shuffled once so that every later branch shares that shuffle
-    and no branch reads file contents again.
+    Files over the budget and undecodable ones (null content) take no part.
     """
     name_len = utf16_units(F.col("file_name"))
     return (
@@ -33,7 +32,6 @@ def measure_files(files: DataFrame, budget: int = S.BUNDLE_BUDGET) -> DataFrame:
             (name_len + utf16_units(F.col("content"))).cast("bigint").alias("cost"),
         )
         .filter(F.col("size") <= budget)
-        .repartition("app_id", "file_name")
     )
 
 
@@ -46,7 +44,8 @@ def pack_by_budget(files: DataFrame, budget: int = S.BUNDLE_BUDGET) -> DataFrame
     per UTF-16 unit, and that is at least a third of the room left; so at most two
     more files can be taken, and two minimum searches find them.
     """
-    sized = measure_files(files, budget)
+    # contents are read once; every later step uses the narrow copy
+    sized = materialize(measure_files(files, budget), "file-sizes")
     return _pack(sized, budget)
 
 

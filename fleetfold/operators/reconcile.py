@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetfold import schema as S
 from fleetfold.operators.keyed import prefix_totals, salted_lookup, time_id_levels
+from fleetfold.sources.scratch import materialize
 
 PROFILE = ["app_id", "profile_id"]
 
@@ -130,7 +131,11 @@ def trim_excess(status: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     over = status.filter(F.col("excess") > 0).select(*PROFILE, "excess")
     wanted = salted_lookup(candidates, over, PROFILE, "inner", salt_by=["exec_id"])
-    ordered = wanted.withColumn("_at", F.coalesce("at_ms", F.lit(-1)))
+    # ranking visits these rows several times
+    ordered = materialize(
+        wanted.select(*PROFILE, "exec_id", "source", "excess", F.coalesce("at_ms", F.lit(-1)).alias("_at")),
+        "trim-candidates",
+    )
     ranked = prefix_totals(
         ordered,
         PROFILE,
@@ -229,7 +234,7 @@ def with_trim_counts(status: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """Lazy tables of one cycle."""
+    """Tables of one cycle. They share the materialized member and profile tables."""
 
     status: DataFrame        # one row per target profile, with every count
     timed_out: DataFrame     # app_id, profile_id, exec_id
@@ -364,11 +369,14 @@ def reconcile(
         "idle_ledger": F.col("ledger_unknown") & _is_idle(F.col("created_ms"), now, idle_ms),
         "idle_pending": F.col("pending_unknown") & _is_idle(F.col("start_ms"), now, idle_ms),
     })
+    # every result below starts from this table, not from the events behind it
+    flags = materialize(flags, "member-flags")
     counts = flags.groupBy(*PROFILE).agg(
         *[F.count_if(F.col(c)).alias(c) for c in [*_COUNTS, "idle_ledger", "idle_pending"]]
     )
-    status = with_trim_counts(
-        request_counts(profile_status(targets, counts), batch_size, batch_mode)
+    status = materialize(
+        with_trim_counts(request_counts(profile_status(targets, counts), batch_size, batch_mode)),
+        "profile-status",
     )
     candidates = flags.filter("idle_ledger or idle_pending").select(
         *PROFILE,

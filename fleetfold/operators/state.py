@@ -135,7 +135,8 @@ def entity_by_job(pods: DataFrame, jobs: DataFrame, job_label: str, strict: bool
     """Member id by the job-name label; a miss is an error row, or an abort if strict."""
     named = pods.drop("exec_id").withColumn("job_name", F.col("labels")[job_label])
     known = jobs.select("app_id", "job_name", "exec_id")
-    found = named.join(known, ["app_id", "job_name"], "left")
+    # a member may own most of the documents, so its job row is looked up with a salt
+    found = salted_lookup(named, known, ["app_id", "job_name"], salt_by=["uid"])
     return _flag_missing(found, F.col("job_name"), strict)
 
 

@@ -15,21 +15,31 @@ def is_bundle_name(name: Column) -> Column:
     return ~name.rlike(r"\A(?:" + "|".join(SKIPPED_NAMES) + r")\z")
 
 
-def read_conf_files(spark: SparkSession, path: str, budget: int = S.BUNDLE_BUDGET) -> DataFrame:
-    """Small text files below ``path/<app>/``.
+def read_conf_files(
+    spark: SparkSession, path: str, budget: int = S.BUNDLE_BUDGET, folder_names: bool = False
+) -> DataFrame:
+    """Small text files below ``path/<app>/``, or, with ``folder_names``, files that
+    Spark wrote below ``path/app_id=<app>/file_name=<name>/``.
 
-    Name and size filters use the file listing, so skipped files are not opened.
+    The size filter is answered from the file listing, so oversize files are not opened.
     Files that are not valid UTF-8 are dropped.
     """
-    name = F.element_at(F.split("path", "/"), -1)
+    step = -1 if folder_names else 0
+
+    def part(at: int, key: str) -> Column:
+        name = F.element_at(F.split("path", "/"), at + step)
+        if not folder_names:
+            return name
+        return F.url_decode(F.replace(F.substring(name, len(key) + 2, 4096), F.lit("+"), F.lit("%2B")))
+
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
-        .filter((F.col("length") <= budget))
+        .filter(F.col("length") <= budget)
         .select(
-            F.element_at(F.split("path", "/"), -2).alias("app_id"),
-            name.alias("file_name"),
+            part(-2, "app_id").alias("app_id"),
+            part(-1, "file_name").alias("file_name"),
             F.col("length").alias("n_bytes"),
             "content",
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -23,7 +23,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder unless it is set already."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table once and go on from the written copy.
+
+    Cuts the lineage of a table that several results share. The copy lies on shared
+    storage, so it survives lost executors, and it is columnar, so each result reads
+    only its columns and Spark knows its size when it plans the next join.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
