@@ -384,8 +384,8 @@ def reconcile(
         F.when(F.col("idle_ledger"), 0).otherwise(1).alias("source"),
         F.when(F.col("idle_ledger"), F.col("created_ms")).otherwise(F.col("start_ms")).alias("at_ms"),
     )
-    trimmed = trim_excess(status, candidates)
-    requests = request_plan(status, last_ids, batch_size, batch_mode)
+    trimmed = materialize(trim_excess(status, candidates), "trimmed")
+    requests = materialize(request_plan(status, last_ids, batch_size, batch_mode), "requests")
     ledger_total = counts.groupBy("app_id").agg(F.sum("ledger_unknown").alias("ledger_unknown"))
     kept = flags.filter("ledger_unknown").select(
         *S.MEMBER, F.col("request_profile").alias("profile_id"), "created_ms"

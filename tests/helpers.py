@@ -21,7 +21,7 @@ def pod(exec_id=1, phase="Running", containers=(), app="a", seq=None, **more):
         app_id=app, exec_id=exec_id, profile_id=0, seq=exec_id if seq is None else seq, ts_ms=0,
         name=f"{app}-exec-{exec_id}", namespace="default", uid=f"{app}-{exec_id}-{seq}",
         labels={S.ROLE_LABEL: S.EXECUTOR_ROLE, S.ID_LABEL: str(exec_id)},
-        phase=phase, containers=list(containers), restart_policy="Never",
+        phase=phase, containers=None if containers is None else list(containers), restart_policy="Never",
     )
     row.update(more)
     return row
