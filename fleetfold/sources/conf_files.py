@@ -22,7 +22,8 @@ def read_conf_files(
     Spark wrote below ``path/app_id=<app>/file_name=<name>/``.
 
     The size filter is answered from the file listing, so oversize files are not opened.
-    Files that are not valid UTF-8 are dropped.
+    Files that are not valid UTF-8 are dropped. Spark's file sources hide names that
+    begin with ``_`` or ``.``; bring such files in as rows of the file table instead.
     """
     step = -1 if folder_names else 0
 
