@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of ``df`` is below its broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def salted_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -18,12 +25,15 @@ def salted_lookup(
     salts: int = SALTS,
     salt_by: list[str] | None = None,
 ) -> DataFrame:
-    """Join many rows per key to at most one ``right`` row per key.
+    """Join many rows per key to few ``right`` rows per key.
 
-    The left rows of one key are spread over ``salts`` shuffle keys and the right
-    row is repeated once per salt, so a key with a third of the rows is shared by
-    many tasks. Sides below Spark's own size limit are broadcast by Spark as usual.
+    A right side that Spark itself would broadcast is joined as it is; skew does not
+    matter then. Otherwise the left rows of one key are spread over ``salts`` shuffle
+    keys and the right rows are repeated once per salt, so a key with a third of the
+    rows is shared by many tasks.
     """
+    if fits_broadcast(right):
+        return left.join(right, on, how)
     spread = salt_by or [c for c in left.columns if c not in on] or on
     slot = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     slots = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

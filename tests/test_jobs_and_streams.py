@@ -66,8 +66,17 @@ def test_prefix_totals_with_one_hot_key(spark):
 def test_salted_lookup_is_a_left_join(spark):
     left = spark.range(1000).select((F.col("id") % 4).alias("k"), "id")
     right = spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
-    got = keyed.salted_lookup(left, right, ["k"])
-    assert rows(got, "id", "k", "v") == rows(left.join(right, "k", "left"), "id", "k", "v")
+    want = rows(left.join(right, "k", "left"), "id", "k", "v")
+    assert keyed.fits_broadcast(right)
+    assert rows(keyed.salted_lookup(left, right, ["k"]), "id", "k", "v") == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = keyed.salted_lookup(left, right, ["k"], salt_by=["id"])
+        assert "_slot" in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got, "id", "k", "v") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_stream_fold_equals_batch_over_many_batches(spark):
