@@ -1,7 +1,8 @@
 """Column expressions over one observed document (see ``schema.POD``).
 
-All of them are built-in expressions, so they stay inside code generation and
-only read the document fields they name.
+All of them are built-in expressions. Containers and conditions are addressed as
+arrays of one field (``containers.name``) where possible: that stays inside code
+generation, and a file scan then reads only the named nested fields.
 """
 
 from __future__ import annotations
@@ -28,14 +29,19 @@ def is_inactive(labels: str = "labels") -> Column:
 
 def exit_code() -> Column:
     """Exit code of the first terminated container, whatever its name; -1 if none."""
-    done = F.filter("containers", lambda c: c["terminated"].isNotNull())
-    return F.coalesce(F.get(done, F.lit(0))["terminated"]["exit_code"], F.lit(S.UNKNOWN_EXIT_CODE))
+    codes = F.array_compact(F.col("containers.terminated.exit_code"))
+    return F.coalesce(F.get(codes, F.lit(0)), F.lit(S.UNKNOWN_EXIT_CODE))
+
+
+def _field_of(array: str, key: str, value: str, field: str) -> Column:
+    """``field`` of the first element whose ``key`` is ``value``; null if there is none."""
+    at = F.array_position(F.col(f"{array}.{key}"), F.lit(value)).cast("int") - 1
+    return F.get(F.col(f"{array}.{field}"), at)
 
 
 def main_exit_code(main_name: str = S.EXECUTOR_CONTAINER) -> Column:
     """Exit code of the container called ``main_name``; null while it has none."""
-    named = F.filter("containers", lambda c: c["name"] == F.lit(main_name))
-    return F.get(named, F.lit(0))["terminated"]["exit_code"]
+    return _field_of("containers", "name", main_name, "terminated.exit_code")
 
 
 def state_code(check_all: bool = False, main_name: str = S.EXECUTOR_CONTAINER) -> Column:
@@ -54,8 +60,7 @@ def state_code(check_all: bool = False, main_name: str = S.EXECUTOR_CONTAINER) -
     )
     if check_all:
         broken = F.exists(
-            "containers",
-            lambda c: F.coalesce(c["terminated"]["exit_code"] != 0, F.lit(False)),
+            F.col("containers.terminated.exit_code"), lambda c: F.coalesce(c != 0, F.lit(False))
         )
         running = F.when(
             F.col("restart_policy").eqNullSafe("Never") & F.coalesce(broken, F.lit(False)),
@@ -166,8 +171,7 @@ def exit_message(state: Column) -> Column:
 
 
 def is_ready() -> Column:
-    ready = F.filter("conditions", lambda c: c["type"] == "Ready")
-    return F.coalesce(F.get(ready, F.lit(0))["status"] == "True", F.lit(False))
+    return F.coalesce(_field_of("conditions", "type", "Ready", "status") == "True", F.lit(False))
 
 
 def start_ms() -> Column:

@@ -72,9 +72,9 @@ def removal_once(
     )
     types = {c: events.schema[c].dataType.simpleString() for c in S.MEMBER}
     key_ddl = f"app_id {types['app_id']}, exec_id {types['exec_id']}, chunk bigint"
+    # both passes read the same columns, so Spark runs the aggregation once
     entries = (
-        times.drop("seq")
-        .repartition(*_GROUP)
+        times.repartition(*_GROUP)
         .sortWithinPartitions(*_GROUP, "t")
         .mapInPandas(_chunk_exits(ttl_ms, chunk_ms), f"{key_ddl}, t bigint, exit bigint")
     )
