@@ -61,3 +61,22 @@ def filter_people_demo(spark, d):
     ).write.json(path)
     people = spark.read.schema("name string, age bigint").json(path)
     return J.range_filter_demo(people, 13, 19)
+
+
+_EDGES = """SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR)) AS src, concat('p', CAST(l_partkey AS VARCHAR)) AS dst FROM lineitem
+  UNION ALL SELECT DISTINCT concat('p', CAST(l_partkey AS VARCHAR)), concat('s', CAST(l_suppkey AS VARCHAR)) FROM lineitem"""
+_ROUNDS = 3
+_RANK_CTES = {"e": _EDGES, "d": "SELECT src, count(*) AS n FROM e GROUP BY src", "r0": f"SELECT src, {J.RANK_UNIT} AS rank FROM d"}
+for _i in range(_ROUNDS):
+    _RANK_CTES[f"r{_i + 1}"] = f"""SELECT dst AS src, {J.RANK_UNIT * 15 // 100} + CAST(sum(rank // n) AS BIGINT) * 85 // 100 AS rank
+      FROM e JOIN d USING (src) JOIN r{_i} USING (src) GROUP BY dst"""
+
+
+@query("page_rank", "WITH " + ", ".join(f"{n} AS ({q})" for n, q in _RANK_CTES.items())
+       + f" SELECT src AS node, CAST(rank AS BIGINT) AS rank FROM r{_ROUNDS}")
+def page_rank(spark, d):
+    supp = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    pairs = A.table(spark, d, "lineitem").select(supp.alias("src"), part.alias("dst"))
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return J.page_rank(both, _ROUNDS)
