@@ -68,9 +68,10 @@ def select_apps(pods: DataFrame, submission_id: str) -> DataFrame:
 def select_many_apps(pods: DataFrame, requests: DataFrame) -> DataFrame:
     """:func:`select_apps` for a table of ids: each match with its ``submission_id``.
 
-    Prefixes become equality: a driver's name is expanded into its own prefixes,
-    which are looked up like exact names. That keeps the join hash-based, and the
-    lookup is salted because a short prefix may match every driver.
+    Prefixes become equality: a driver's name is expanded into its own prefixes of the
+    lengths that were asked for, which are looked up like exact names. That keeps the
+    join hash-based, and the lookup is salted because a short prefix may match every
+    driver.
     """
     namespace, name = _id_parts(F.col("submission_id"))
     asked = requests.select("submission_id", namespace.alias("_ns"), name.alias("_name"))
@@ -81,8 +82,15 @@ def select_many_apps(pods: DataFrame, requests: DataFrame) -> DataFrame:
         pods.withColumn("_name", F.col("name")), exact, ["_name"], "inner", salt_by=["uid"]
     )
     drivers = pods.filter(F.col("labels")[S.ROLE_LABEL] == S.DRIVER_ROLE)
-    lengths = F.explode(F.sequence(F.lit(0), F.length("name"))).alias("_len")
-    expanded = drivers.select("*", lengths).withColumn("_name", F.expr("left(name, _len)")).drop("_len")
+    # a set of name lengths, so at most a few hundred numbers
+    asked_lengths = globs.agg(F.collect_set(F.length("_name"))).scalar()
+    expanded = (
+        drivers.withColumn("_lens", asked_lengths)
+        .select("*", F.explode("_lens").alias("_len"))
+        .filter(F.col("_len") <= F.length("name"))
+        .withColumn("_name", F.expr("left(name, _len)"))
+        .drop("_len", "_lens")
+    )
     by_prefix = salted_lookup(expanded, globs, ["_name"], "inner", salt_by=["uid"])
     found = by_name.unionByName(by_prefix)
     return found.filter(F.col("_ns").isNull() | (F.col("_ns") == F.col("namespace"))).drop("_ns", "_name")

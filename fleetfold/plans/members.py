@@ -344,7 +344,7 @@ def missing_members(spark, d):
     gone = changes.filter(F.col("deletion_ts").isNotNull() & (F.col("containers")[0]["image"] == "image-3"))
     gone = gone.select(*S.MEMBER)
     found = L.missing_members(
-        A.registrations(changes), ST.fold_state(changes, full), full, gone, gone.limit(0)
+        A.registrations(changes), ST.fold_state(changes, full), full, gone, gone
     )
     return found.select(*S.MEMBER, "exit_code", "by_app", "sync_ts")
 

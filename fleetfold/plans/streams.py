@@ -82,7 +82,7 @@ def missing_members_stream(spark, d):
     columns = [f.name for f in S.POD.fields]
     SF.relist(A.listing(pods).select(*columns), A.LISTING_MS * 1000, A.LISTING_MS).select(*columns).write.parquet(f"{out}/inbox")
     known = A.registrations(pods)
-    none = known.select(*S.MEMBER).limit(0)
+    none = known.select(*S.MEMBER).filter(F.lit(False))
     SR.start_missing(
         spark.readStream.schema(S.POD).parquet(f"{out}/inbox"), lambda: known, lambda: none,
         out, f"{out}/progress",

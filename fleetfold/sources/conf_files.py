@@ -94,8 +94,12 @@ def from_properties(lines: DataFrame) -> DataFrame:
 
 
 def write_properties(conf: DataFrame, path: str) -> None:
-    """Properties text, one folder per app."""
-    to_properties(conf).write.mode("overwrite").partitionBy("app_id").text(path)
+    """Properties text, one folder per app.
+
+    Rows are rebalanced by app before they are written: small apps get one file, and a
+    very large app is split over several tasks and files.
+    """
+    to_properties(conf).hint("rebalance", "app_id").write.mode("overwrite").partitionBy("app_id").text(path)
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:

@@ -101,8 +101,9 @@ def start_missing(
             F.col("_known").isNull() | (F.col("seq") > F.col("_known"))
         ).drop("_known")
         state = present(fold_flat(flatten(batch)))
-        nobody = state.select(*S.MEMBER).limit(0)
-        found = missing_members(registrations(), state, new, nobody, removed_recent(), delta_ms)
+        # this stream removes nobody itself, so recent removals are the only exclusion
+        removed = removed_recent()
+        found = missing_members(registrations(), state, new, removed, removed, delta_ms)
         carry(found, f"{path}/missing", batch_id)
         merged = before.unionByName(arrived).groupBy("app_id").agg(
             F.max_by("sync_ts", "seq").alias("sync_ts"), F.max("seq").alias("seq")
@@ -173,11 +174,13 @@ def batched_delivery(
     stream: DataFrame,
     consumers: Mapping[str, tuple[str | None, Callable[[DataFrame, int], None]]],
     checkpoint: str,
+    initial: bool = True,
 ) -> dict[str, StreamingQuery]:
     """One query per consumer: every consumer gets every row once, at its own pace.
 
     ``consumers`` maps a name to (interval, handler); a null interval delivers what is
-    available and ends. A handler that fails is logged and the query goes on.
+    available and ends. A handler that fails is logged and the query goes on. With
+    ``initial`` each consumer first sees an empty batch numbered -1.
     """
 
     def guarded(name: str, handler: Callable[[DataFrame, int], None]):
@@ -189,10 +192,15 @@ def batched_delivery(
 
         return step
 
+    guards = {name: guarded(name, handler) for name, (_, handler) in consumers.items()}
+    if initial:
+        empty = stream.sparkSession.createDataFrame([], stream.schema)
+        for step in guards.values():
+            step(empty, -1)
     return {
         name: start_rounds(
-            stream, f"{checkpoint}/{name}", guarded(name, handler),
+            stream, f"{checkpoint}/{name}", guards[name],
             **({"processingTime": interval} if interval else {"availableNow": True}),
         )
-        for name, (interval, handler) in consumers.items()
+        for name, (interval, _) in consumers.items()
     }
