@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetfold.sources.scratch import materialize
+
 SALTS = 16
 
 
@@ -93,7 +95,34 @@ def prefix_totals(
     )
 
 
-def time_id_levels(time: str, ident: str) -> list[Column]:
-    """Buckets for an order by (epoch ms, id): hour, then ms, then block of ids."""
-    t, i = F.col(time), F.col(ident)
-    return [F.floor(t / F.lit(3_600_000)), t, F.floor(i / F.lit(4096))]
+def first_per_key(
+    df: DataFrame, keys: list[str], n: str, levels: list[Column], order: list[str]
+) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``, where column ``n`` is constant per key.
+
+    Each level counts the rows per bucket and tells the buckets that are wholly in
+    from the one where the cut falls; only the rows of that bucket go on to the next,
+    finer level. The last bucket is ranked row by row.
+    """
+    rest, parts = df.withColumn("_n", F.col(n).cast("bigint")), []
+    for level in levels:
+        rest = rest.withColumn("_b", level)
+        earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counted = rest.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+        placed_buckets = (
+            counted.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+            .filter("_before < _n")
+            .select(*keys, "_b", (F.col("_n") - F.col("_before")).alias("_left"),
+                    (F.col("_before") + F.col("_c") <= F.col("_n")).alias("_whole"))
+        )
+        # There may be nearly as many buckets as rows, so they are not repeated per salt;
+        # nothing follows the join but a write, so Spark can split a hot bucket itself.
+        # Written once: the rows that are in, and those of the buckets still to be cut.
+        placed = materialize(
+            rest.join(placed_buckets, [*keys, "_b"]).select(*df.columns, "_left", "_whole"), "cut"
+        )
+        parts.append(placed.filter("_whole").select(*df.columns))
+        rest = placed.filter("not _whole").select(*df.columns, F.col("_left").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    last = rest.withColumn("_rank", rank).filter("_rank <= _n").select(*df.columns)
+    return reduce(DataFrame.unionByName, parts, last)

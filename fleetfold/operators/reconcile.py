@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold import schema as S
-from fleetfold.operators.keyed import prefix_totals, salted_lookup, time_id_levels
+from fleetfold.operators.keyed import first_per_key, prefix_totals, salted_lookup
 from fleetfold.sources.scratch import materialize
 
 PROFILE = ["app_id", "profile_id"]
@@ -131,20 +131,18 @@ def trim_excess(status: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     over = status.filter(F.col("excess") > 0).select(*PROFILE, "excess")
     wanted = salted_lookup(candidates, over, PROFILE, "inner", salt_by=["exec_id"])
-    # ranking visits these rows several times
+    # the cut is searched in several steps over these rows
     ordered = materialize(
         wanted.select(*PROFILE, "exec_id", "source", "excess", F.coalesce("at_ms", F.lit(-1)).alias("_at")),
         "trim-candidates",
     )
-    ranked = prefix_totals(
-        ordered,
-        PROFILE,
-        [F.col("source"), *time_id_levels("_at", "exec_id")],
-        ["_at", "exec_id"],
-        F.lit(1),
-        "_rank",
-    )
-    return ranked.filter(F.col("_rank") < F.col("excess")).select(*PROFILE, "exec_id", "source")
+    levels = [
+        F.struct("source", F.floor(F.col("_at") / F.lit(3_600_000)).alias("hour")),
+        F.col("_at"),
+        F.floor(F.col("exec_id") / F.lit(4096)),
+    ]
+    first = first_per_key(ordered, PROFILE, "excess", levels, ["_at", "exec_id"])
+    return first.select(*PROFILE, "exec_id", "source")
 
 
 def request_counts(status: DataFrame, batch_size: int = S.BATCH_SIZE, batch_mode: bool = False) -> DataFrame:
