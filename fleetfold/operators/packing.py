@@ -58,7 +58,10 @@ def _pack(sized: DataFrame, budget: int) -> DataFrame:
     open_sizes = sums.filter(F.col("_before") < budget).select(
         "app_id", "size", "_before", (F.col("_before") + F.col("cost") < budget).alias("_whole")
     )
-    placed = salted_lookup(sized, open_sizes, ["app_id", "size"], "inner", salt_by=["file_name"])
+    placed = materialize(
+        salted_lookup(sized, open_sizes, ["app_id", "size"], "inner", salt_by=["file_name"]),
+        "open-sizes",
+    )
     whole = placed.filter("_whole").select("app_id", "file_name", "size", "cost")
     # 2. the size where the budget ends: only its first names can matter. A file of
     # this size costs at least a third of it, which bounds how many; the bound is
@@ -84,7 +87,7 @@ def _pack(sized: DataFrame, budget: int) -> DataFrame:
     room = misfit.join(used, "app_id", "left").select(
         "app_id", "at", (budget - F.coalesce("used", F.lit(0))).alias("room")
     )
-    second = _next_fit(sized, room)
+    second = materialize(_next_fit(sized, materialize(room, "room")), "second-fit")
     third = _next_fit(
         sized,
         second.select(
