@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetfold.llm import exact_dedup, mixing, packing, quality_rules, simhash, token_files
+from fleetfold.llm import (
+    exact_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_files, toxicity,
+)
 from fleetfold.llm.common import table
 
 
@@ -23,10 +25,26 @@ def BYTE_TOKENIZER() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
 
@@ -50,8 +68,8 @@ def op10_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op3_source_mix, op6_line_frequency_rules, op7_simhash, op8_chunk_recipes, op9_token_files,
-        op10_concatenate_and_cut,
+        op1_secret_automaton, op2_toxicity_neighbours, op3_source_mix, op4_suffix_dedup, op5_quality_neighbours,
+        op6_line_frequency_rules, op7_simhash, op8_chunk_recipes, op9_token_files, op10_concatenate_and_cut,
     )
 }
 
