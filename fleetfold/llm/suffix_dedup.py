@@ -116,7 +116,12 @@ def anchored(buffer: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     nth = np.arange(len(start)) - np.repeat(np.cumsum(parts) - parts, parts)
     start = start + nth * MOST_WINDOWS
     windows = np.minimum(np.repeat(size, parts) - nth * MOST_WINDOWS, MOST_WINDOWS)
-    return least[start], start, windows, np.searchsorted(ends, start, side="right")
+    # least hashes are small numbers; mixed again they spread evenly over the ranges
+    mixed = least[start]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(30)
+    return mixed, start, windows, np.searchsorted(ends, start, side="right")
 
 
 class Run:
