@@ -49,11 +49,7 @@ def pack(ids: np.ndarray, frame: int = FRAME) -> tuple[np.ndarray, np.ndarray, n
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    widths = np.zeros(n, np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        over = (ids >> (widths + np.uint8(shift - 1)).astype(np.uint64)) > 1 if shift == 1 else (ids >> (widths.astype(np.uint64))) >= (np.uint64(1) << np.uint64(shift))
-        widths += over.astype(np.uint8) * np.uint8(shift)
-    widths += 1
+    widths = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
     at = np.arange(n, dtype=np.int32)
     left = np.minimum(frame - at % frame, n - at)
     take = np.ones(n, np.int32)
@@ -61,9 +57,11 @@ def pack(ids: np.ndarray, frame: int = FRAME) -> tuple[np.ndarray, np.ndarray, n
     for selector in range(len(SLOTS) - 1, -1, -1):
         slots, width = SLOTS[selector], WIDTHS[selector]
         fits = widths <= width
-        if not fits.any():
-            continue
         if slots > 1:
+            wide = np.flatnonzero(~fits)
+            longest = n if not len(wide) else max(int(wide[0]), int(np.diff(wide, append=n).max()) - 1)
+            if longest < slots:  # no such word, or only a short one that a wider slot can hold
+                continue
             stop = np.where(fits, np.int32(n), at)
             reach = np.minimum.accumulate(stop[::-1])[::-1] - at
             want = np.minimum(left, slots)
