@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.llm.common import pieces_of
 from fleetfold.llm.token_files import part_offsets
-from fleetfold.llm.tokens import encoder, with_end
+from fleetfold.llm.tokens import SLICE, encoder, with_end
 from fleetfold.sources.scratch import materialize
 
 LENGTH, END = 1024, 0
@@ -31,7 +31,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", SLICE):
             ids, lengths = with_end(*encoder(tokenizer, False).encode(batch.column(1)), end)
             ends = np.cumsum(lengths)
             starts = (ends - lengths).tolist()

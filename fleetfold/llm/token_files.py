@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetfold.llm.common import pieces_of
-from fleetfold.llm.tokens import encoder, with_end
+from fleetfold.llm.tokens import SLICE, encoder, with_end
 from fleetfold.sources.scratch import materialize, scratch_dir
 
 #: Slots per word and bits per slot, by selector. Fixed values of the format.
@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
         part, number, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         n = 0
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", SLICE):
             ids, lengths = with_end(*encoder(tokenizer, True).encode(batch.column(1)), end)
             doc_ids, cuts = batch.column(0).to_pylist(), np.cumsum(lengths)
             start = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,10 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
 
-#: Words whose ids a worker keeps; a full store is emptied, so memory is bounded.
-KEPT_WORDS, KEPT_BYTES = 500_000, 64
+#: Words whose ids a worker keeps: the first ones, among which the frequent ones are.
+KEPT_WORDS, KEPT_BYTES = 600_000, 48
+#: Bytes of text whose words are encoded together.
+SLICE = 8 << 20
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x01"
 #: How the byte tokenizer writes a space in its tokens. Fixed value.
@@ -44,11 +47,10 @@ class WordEncoder:
     def _ids(self, words: list[str]) -> list[bytes]:
         kept = self.kept
         missing = [w for w in words if w not in kept]
-        if len(kept) + len(missing) > KEPT_WORDS:
-            kept.clear()
-            missing = words
         fresh = dict(zip(missing, self._encoded(missing)))
-        kept.update((w, b) for w, b in fresh.items() if len(w) <= KEPT_BYTES and len(kept) < KEPT_WORDS)
+        room = KEPT_WORDS - len(kept)
+        if room > 0:
+            kept.update(islice(((w, b) for w, b in fresh.items() if len(w) <= KEPT_BYTES), room))
         return [fresh[w] if w in fresh else kept[w] for w in words]
 
     def _encoded(self, words: list[str]) -> list[bytes]:
