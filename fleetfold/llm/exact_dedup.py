@@ -94,9 +94,9 @@ def exact_groups(docs: DataFrame, identifiers: list = IDENTIFIERS) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row per document."""
-    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
+    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays"))
     rows = docs.withColumn("_sha", F.sha2(normalised(whole_text()), 256))
-    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
+    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stays")), "left_semi")
     first = Window.partitionBy("doc_id", "_sha").orderBy("doc_id")
     return joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
 

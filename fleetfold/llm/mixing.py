@@ -159,7 +159,7 @@ def mix_sources(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None =
 
 def mixed_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """The documents that the mix takes, all columns as they are, one row per epoch; the last of a leaf whole."""
-    taken = mix_sources(docs, mix).select("doc_id", "epoch").distinct()
+    taken = mix_sources(docs, mix).select("doc_id", F.col("epoch").alias("_epoch")).distinct()
     return docs.join(taken, "doc_id").select(*docs.columns)
 
 

@@ -139,9 +139,12 @@ def removed_words(
     )
 
 
+#: Columns that the rules add.
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", "kept", "common"]
+
+
 def _judged(docs: DataFrame, host: str, line_docs: int, line_percent: int, left_percent: int) -> DataFrame:
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", "kept"}
-    docs = docs.select(*[c for c in docs.columns if c not in made])
+    docs = docs.select(*[c for c in docs.columns if c not in MADE])
     removed = removed_words(docs, host, line_docs, line_percent)
     rows = statistics(docs).withColumns({
         "_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_text": _text_key(),
@@ -181,11 +184,12 @@ def clean_documents(
     left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
     """The kept documents with the columns of ``docs``, their text without boilerplate lines."""
-    judged = _judged(docs, host, line_docs, line_percent, left_percent).filter("kept")
+    own = {c: f"_own_{c}" for c in docs.columns if c in MADE}
+    judged = _judged(docs.withColumnsRenamed(own), own.get(host, host), line_docs, line_percent, left_percent).filter("kept")
     left = let(F.col("common"), lambda common: F.array_join(F.filter(
         F.split(whole_text(), "\n"), lambda line: ~F.array_contains(common, F.xxhash64(normal_line(line)))), "\n"))
     text = F.when(F.col("common").isNull(), F.col("text")).otherwise(left)
-    return judged.withColumn("text", text).select(*[c for c in docs.columns if c in judged.columns])
+    return judged.withColumn("text", text).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""
