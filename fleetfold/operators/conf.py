@@ -187,8 +187,9 @@ def resolve_conf(conf: DataFrame, settings: list[tuple] | None = None) -> DataFr
 
 def _number() -> Column:
     value = F.trim("value")
-    amount = F.regexp_extract(value, r"^(-?[0-9]+)([a-z]*)$", 1).try_cast("double")
-    unit = F.nullif(F.regexp_extract(value, r"^(-?[0-9]+)([a-z]*)$", 2), F.lit(""))
+    timed = F.lower(value)  # units count in either case
+    amount = F.regexp_extract(timed, r"^(-?[0-9]+)([a-z]*)$", 1).try_cast("double")
+    unit = F.nullif(F.regexp_extract(timed, r"^(-?[0-9]+)([a-z]*)$", 2), F.lit(""))
     scale = F.create_map(*[F.lit(x) for kv in TIME_UNITS.items() for x in (kv[0], float(kv[1]))])
     millis = amount * scale[F.coalesce(unit, F.col("type"))]
     # durations are whole units of the setting
@@ -318,7 +319,7 @@ def effective_settings(
         F.when(F.col("d.source") == "default", F.concat(F.lit("/var/data/spark-"), F.col("app_id").cast("string")))
         .otherwise(F.col("d.value")).alias("paths"),
         F.col("d.source").alias("source"),
-    ).select("app_id", "source", F.posexplode(F.split("paths", ",")).alias("pos", "value"))
+    ).select("app_id", "source", F.posexplode(F.split(F.regexp_replace("paths", ",+$", ""), ",")).alias("pos", "value"))
     local = by_conf.select(
         "app_id", F.concat(F.lit("local_dir_"), F.col("pos") + 1).alias("setting"), "value", "source",
         F.lit(None).cast("boolean").alias("legal"),

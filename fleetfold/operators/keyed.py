@@ -46,6 +46,13 @@ def salted_lookup(
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which null keys meet null keys."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(named, same).drop(*[f"_r_{c}" for c in on])
+
+
 def prefix_totals(
     df: DataFrame,
     keys: list[str],
@@ -60,7 +67,8 @@ def prefix_totals(
     level is totalled first, so a window only ever sees the buckets inside one
     coarser bucket, and the last window only the rows of one finest bucket: the
     rows of a large key are never sorted together. With ``measure`` 1 this is the
-    zero-based position.
+    zero-based position. Rows with a null key are a key of their own, and rows with a
+    null order value come first.
     """
     names = [f"_b{i}" for i in range(len(levels))]
     rows = df.withColumn("_m", measure.cast("bigint"))
@@ -80,7 +88,7 @@ def prefix_totals(
         offsets = (
             level_offset
             if offsets is None
-            else offsets.join(level_offset, [*keys, *names[: depth - 1]])
+            else join_null_safe(level_offset, offsets, [*keys, *names[: depth - 1]])
         )
     base = reduce(lambda a, b: a + b, [F.col(f"_o{d}") for d in range(1, len(levels) + 1)])
     offsets = offsets.select(*keys, *names, base.alias("_base"))
@@ -89,7 +97,7 @@ def prefix_totals(
         F.sum("_m").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     return (
-        rows.join(offsets, [*keys, *names])
+        join_null_safe(rows, offsets, [*keys, *names])
         .withColumn(before, F.col("_base") + running)
         .drop("_m", "_base", *names)
     )

@@ -238,7 +238,7 @@ def missing_members(
         .unionByName(removed_now.select(*S.MEMBER))
         .unionByName(removed_recent.select(*S.MEMBER))
     )
-    absent = registrations.join(excluded, S.MEMBER, "left_anti")
+    absent = registrations.join(excluded.distinct(), S.MEMBER, "left_anti")
     latest = syncs.groupBy("app_id").agg(F.max_by("sync_ts", "seq").alias("sync_ts"))
     timed = salted_lookup(absent, latest, ["app_id"], "inner", salt_by=["exec_id"])
     message = F.format_string(

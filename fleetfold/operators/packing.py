@@ -115,18 +115,25 @@ def write_conf_bundle(
     prefix: Column | None = None,
     budget: int = S.BUNDLE_BUDGET,
 ) -> DataFrame:
-    """One row per app: bundle name, labels and a map from file name to content.
+    """One row per app of ``files``: bundle name, labels and a map from file name to content.
+
+    An app none of whose files fits or can be decoded has an empty map.
 
     The data map holds the packed files only, so its size is bounded by ``budget``;
     the labels map holds the labels of ``(app_id, key, value)`` named in
     ``label_keys``, so it is bounded by that list.
     """
     taken = pack_by_budget(files, budget).select("app_id", "file_name")
-    data = (
+    filled = (
         files.join(taken, ["app_id", "file_name"], "left_semi")
         .groupBy("app_id")
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_name", "content")))).alias("data"))
     )
+    empty = F.create_map().cast("map<string,string>")
+    data = (
+        files.select("app_id").distinct().join(filled, "app_id", "left")
+        .withColumn("data", F.coalesce("data", empty))
+    )
     base = F.col("app_id").cast("string") if prefix is None else prefix
     out = data.select("app_id", bundle_name(base).alias("name"), "data")
     if labels is not None:

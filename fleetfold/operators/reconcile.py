@@ -17,7 +17,7 @@ PROFILE = ["app_id", "profile_id"]
 
 def unacked(ledger: DataFrame, seen: DataFrame) -> DataFrame:
     """Requested members that no snapshot of the batch has shown."""
-    return ledger.join(seen.select(*S.MEMBER), S.MEMBER, "left_anti")
+    return ledger.join(seen.select(*S.MEMBER).distinct(), S.MEMBER, "left_anti")
 
 
 def split_known(members: DataFrame, registrations: DataFrame) -> DataFrame:
@@ -29,13 +29,13 @@ def split_known(members: DataFrame, registrations: DataFrame) -> DataFrame:
 
 
 def ids_except(left: DataFrame, *others: DataFrame) -> DataFrame:
-    """Ids of ``left`` in none of the others: the others are united first, one join."""
+    """Ids of ``left`` in none of the others: the others are united and reduced first, one join."""
     gone = reduce(DataFrame.unionByName, [o.select(*S.MEMBER) for o in others])
-    return left.join(gone, S.MEMBER, "left_anti")
+    return left.join(gone.distinct(), S.MEMBER, "left_anti")
 
 
 def ids_intersect(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right.select(*S.MEMBER), S.MEMBER, "left_semi")
+    return left.join(right.select(*S.MEMBER).distinct(), S.MEMBER, "left_semi")
 
 
 def ids_union(*sides: DataFrame) -> DataFrame:
@@ -64,7 +64,8 @@ def creation_timeouts(ledger: DataFrame, now: Column, limit_ms: int | None = Non
 
 
 def _is_idle(start: Column, now: Column, idle_ms: int) -> Column:
-    return F.coalesce(now - start > idle_ms, F.lit(True))
+    # without a clock nothing is decided
+    return now.isNotNull() & F.coalesce(now - start > idle_ms, F.lit(True))
 
 
 def idle_pending(state: DataFrame, now: Column, idle_ms: int = S.IDLE_TIMEOUT_MS) -> DataFrame:

@@ -146,11 +146,11 @@ def registrations(documents: DataFrame) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter("c_nationkey < 3").select(
+    return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("app-"), (key % 7).cast("string")).alias("app_id"),
-        key.alias("exec_id"),
+        (key + 70).alias("exec_id"),
         (key % 5).cast("int").alias("profile_id"),
-        (F.lit(NOW_MS) - key * 1000).cast("bigint").alias("created_ms"),
+        (F.lit(NOW_MS) - key * 30000).cast("bigint").alias("created_ms"),
     )
 
 
@@ -381,9 +381,9 @@ CTES = {
   FROM (SELECT DISTINCT app_id FROM e0), (SELECT r_regionkey AS profile_id FROM region)""",
     "registrations": """SELECT app_id, exec_id, min(ts_ms) AS registered_ms FROM e0 WHERE exec_id % 3 <> 0
   GROUP BY app_id, exec_id""",
-    "ledger": f"""SELECT concat('app-', CAST(c_custkey % 7 AS VARCHAR)) AS app_id, c_custkey AS exec_id,
-  CAST(c_custkey % 5 AS INT) AS profile_id, {NOW_MS} - c_custkey*1000 AS created_ms
-  FROM customer WHERE c_nationkey < 3""",
+    "ledger": f"""SELECT concat('app-', CAST(c_custkey % 7 AS VARCHAR)) AS app_id, c_custkey + 70 AS exec_id,
+  CAST(c_custkey % 5 AS INT) AS profile_id, {NOW_MS} - c_custkey*30000 AS created_ms
+  FROM customer""",
     "jobs": """SELECT DISTINCT app_id, exec_id, concat('job-', CAST(exec_id AS VARCHAR)) AS job_name FROM e0
   WHERE exec_id % 9 <> 0""",
     "listing": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id, exec_id ORDER BY ts_us DESC) AS rn

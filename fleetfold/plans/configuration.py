@@ -276,7 +276,7 @@ SELECT app_id, name, replace(replace(claim_name, 'OnDemand', concat(app_id, '-ex
  concat('/scratch/', app_id, '/7') AS dirs FROM ix"""))
 def substitute_placeholders(spark, d):
     claims = _volumes(spark, d).filter("claim_name IS NOT NULL").select(
-        "app_id", "name", "claim_name", F.substring("name", 2, 20).cast("bigint").alias("n")
+        "app_id", "name", "claim_name", F.substr("name", F.lit(2)).cast("bigint").alias("n")
     )
     placed = V.index_within(claims, ["app_id"], ["n"], [F.floor(F.col("n") / 4096)])
     ready = placed.select(

@@ -542,7 +542,7 @@ def ledger_after_cycle(spark, d):
 STREAM_CYCLE_SQL = _cycle_sql("""
 SELECT app_id, profile_id, 'delete' AS decision, exec_id FROM trim
 UNION ALL SELECT app_id, profile_id, 'request' AS decision, exec_id FROM req""").replace(
-    "WHERE c_nationkey < 3", "WHERE false").replace(str(NOW_MS), "(SELECT max(ts_ms) FROM e0)")
+    "FROM customer", "FROM customer WHERE false").replace(str(NOW_MS), "(SELECT max(ts_ms) FROM e0)")
 
 
 # --- lifecycle ------------------------------------------------------------------------------------------

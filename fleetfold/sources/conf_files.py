@@ -31,7 +31,7 @@ def read_conf_files(
         name = F.element_at(F.split("path", "/"), at + step)
         if not folder_names:
             return name
-        return F.url_decode(F.replace(F.substring(name, len(key) + 2, 4096), F.lit("+"), F.lit("%2B")))
+        return F.url_decode(F.replace(F.substr(name, F.lit(len(key) + 2)), F.lit("+"), F.lit("%2B")))
 
     return (
         spark.read.format("binaryFile")

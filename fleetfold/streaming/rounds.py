@@ -7,7 +7,6 @@ retried batch gives the same result.
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,6 @@ from fleetfold.operators.lifecycle import last_removals, missing_members, remova
 from fleetfold.operators.reconcile import reconcile
 from fleetfold.streaming.fold import flatten, fold_flat, present
 
-log = logging.getLogger(__name__)
-
 
 def carried(spark: SparkSession, path: str, batch_id: int, ddl: str) -> DataFrame:
     """Table of the previous round; empty before the first."""
@@ -130,13 +127,16 @@ def start_reconcile(
 ) -> StreamingQuery:
     """Reconcile every app once per micro-batch; ``path/decisions`` holds the results.
 
-    The clock of a round is the newest event time of its batch. Members, ledger and
-    deleted ids are carried from round to round.
+    The clock of a round is the newest event time so far, so a late batch does not set
+    it back; before the first event no timeout fires. Members, ledger and deleted ids
+    are carried from round to round.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = batch.agg(F.max("ts_ms")).first()[0]
+        clock = carried(spark, f"{path}/clock", batch_id, "ts_ms bigint")
+        newest = clock.unionByName(batch.select(F.col("ts_ms").cast("bigint").alias("ts_ms")))
+        now = carry(newest.agg(F.max("ts_ms").alias("ts_ms")), f"{path}/clock", batch_id).first()[0]
         flat = flatten(batch)
         before = carried(spark, f"{path}/members", batch_id, _FOLDED)
         folded = carry(fold_flat(before.unionByName(flat)), f"{path}/members", batch_id)
@@ -179,28 +179,19 @@ def batched_delivery(
     """One query per consumer: every consumer gets every row once, at its own pace.
 
     ``consumers`` maps a name to (interval, handler); a null interval delivers what is
-    available and ends. A handler that fails is logged and the query goes on. With
-    ``initial`` each consumer first sees an empty batch numbered -1.
+    available and ends. A handler that fails ends its own query with the batch not
+    marked as delivered, so the batch comes again when the query is started again;
+    the other consumers go on. With ``initial`` each consumer first sees an empty batch
+    numbered -1.
     """
-
-    def guarded(name: str, handler: Callable[[DataFrame, int], None]):
-        def step(batch: DataFrame, batch_id: int) -> None:
-            try:
-                handler(batch, batch_id)
-            except Exception:
-                log.exception("consumer %s failed on batch %d", name, batch_id)
-
-        return step
-
-    guards = {name: guarded(name, handler) for name, (_, handler) in consumers.items()}
     if initial:
         empty = stream.sparkSession.createDataFrame([], stream.schema)
-        for step in guards.values():
-            step(empty, -1)
+        for _, handler in consumers.values():
+            handler(empty, -1)
     return {
         name: start_rounds(
-            stream, f"{checkpoint}/{name}", guards[name],
+            stream, f"{checkpoint}/{name}", handler,
             **({"processingTime": interval} if interval else {"availableNow": True}),
         )
-        for name, (interval, _) in consumers.items()
+        for name, (interval, handler) in consumers.items()
     }

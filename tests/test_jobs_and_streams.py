@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from helpers import container, pod, pods, rows
 from pyspark.sql import functions as F
 
@@ -164,23 +166,46 @@ def test_first_terminal_stream(spark):
     assert rows(SF.read_first_terminal(spark, f"{out}/ends"), "app_id", "seq", "phase") == [("a", 1, "Failed")]
 
 
-def test_delivery_survives_a_failing_consumer(spark):
+def test_a_failed_batch_is_delivered_again(spark):
+    from pyspark.errors import StreamingQueryException
+
     out = scratch_dir(spark, "del")
     inbox = f"{out}/in"
     for i in range(3):
         put(spark, inbox, pod(i, seq=i))
     seen = {"good": [], "bad": []}
+    broken = [True]
 
     def good(batch, batch_id):
         seen["good"] += [r.seq for r in batch.select("seq").collect()]
 
     def bad(batch, batch_id):
-        seen["bad"].append(batch_id)
-        raise ValueError("no")
-
-    for q in SR.batched_delivery(stream(spark, inbox), {"good": (None, good), "bad": (None, bad)}, f"{out}/p").values():
+        if batch_id == 1 and broken[0]:
+            raise ValueError("no")
+        seen["bad"] += [r.seq for r in batch.select("seq").collect()]
+
+    consumers = {"good": (None, good), "bad": (None, bad)}
+    started = SR.batched_delivery(stream(spark, inbox), consumers, f"{out}/p")
+    started["good"].awaitTermination()
+    with pytest.raises(StreamingQueryException):
+        started["bad"].awaitTermination()
+    assert sorted(seen["good"]) == [0, 1, 2] and len(seen["bad"]) == 1
+    broken[0] = False
+    for q in SR.batched_delivery(stream(spark, inbox), consumers, f"{out}/p", initial=False).values():
         q.awaitTermination()
-    assert sorted(seen["good"]) == [0, 1, 2] and seen["bad"] == [-1, 0, 1, 2]
+    assert sorted(seen["good"]) == [0, 1, 2] and sorted(seen["bad"]) == [0, 1, 2]
+
+
+def test_an_empty_round_decides_nothing(spark):
+    out = scratch_dir(spark, "rec-empty")
+    inbox = f"{out}/in"
+    put(spark, inbox, pod(1, "Pending", seq=1))
+    none = spark.createDataFrame([], S.REGISTRATIONS) if hasattr(S, "REGISTRATIONS") else spark.createDataFrame([], "app_id string, exec_id bigint, registered_ms bigint")
+    targets = spark.createDataFrame([("a", 0, 0)], "app_id string, profile_id int, target int")
+    rows_ = stream(spark, inbox).filter("seq < 0")
+    SR.start_reconcile(rows_, lambda: targets, lambda: none, out, f"{out}/progress").awaitTermination()
+    decided = spark.read.parquet(f"{out}/decisions/round=0") if os.path.isdir(f"{out}/decisions/round=0") else None
+    assert decided is None or decided.filter("decision <> 'request'").count() == 0
 
 
 def test_entry_and_catalog(spark):
