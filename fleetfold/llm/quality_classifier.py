@@ -19,7 +19,7 @@ from fleetfold.sources.scratch import materialize
 PER_CLASS, DIMENSIONS = 2000, 48
 NEIGHBOURS = 21
 #: Hashed byte pairs, then the shape of the text in tenths.
-PAIRS, TENTHS = 4096, 11
+PAIRS, TENTHS = 1024, 11
 SHAPES = ("different words", "symbols", "capitals", "word length", "words in a line")
 FEATURES = PAIRS + TENTHS * len(SHAPES)
 SHAPE_COUNT = 8.0
@@ -34,7 +34,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     for row, text in zip(out, texts):
         b = np.frombuffer(text, np.uint8)
         if len(b) > 1:
-            pair = (b[:-1].astype(np.uint32) * 256 + b[1:]) * np.uint32(2654435761) >> np.uint32(20)
+            pair = (b[:-1].astype(np.uint32) * 256 + b[1:]) * np.uint32(2654435761) >> np.uint32(22)
             row[:PAIRS] = np.bincount(pair, minlength=PAIRS)
         words = text.split()
         if words:
