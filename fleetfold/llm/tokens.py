@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -18,8 +20,15 @@ KEPT_WORDS, KEPT_BYTES = 600_000, 48
 SLICE = 8 << 20
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x01"
-#: How the byte tokenizer writes a space in its tokens. Fixed value.
-SPACE_SIGN = "\u0120"
+#: How the byte tokenizer writes a space in its tokens, and the word tokenizer the end of a word. Fixed values.
+SPACE_SIGN, WORD_END = "\u0120", "</w>"
+#: Latin letters that every step before the merges leaves as they are or lower-cases, and marks behind them.
+PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Words with which a text is encoded as a whole by the byte tokenizer: empty, or with white space at an end.
+ODD = r"^$|^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]$"
+#: The character by which both tokenizers write a byte: itself if it can be seen, else the next one from 256 on.
+SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - SEEN))}
 
 
 class WordEncoder:
@@ -30,31 +39,88 @@ class WordEncoder:
     word tokenizer drops white space. The byte tokenizer joins one space to the word
     behind it; where white space is anything but single spaces between words, the
     text is encoded as a whole.
+
+    Both split a run of letters from the marks behind it, so the ids of such a word are
+    those of the two. Runs of Latin letters go to the library's model without the
+    normalising and splitting that would leave them as they are.
     """
 
     def __init__(self, path: str, drops_space: bool) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.kept: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.merges = Tokenizer.from_file(path)
         if drops_space:
+            self.merges.normalizer = None
             (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        else:
-            size = self.tokenizer.get_vocab_size()
-            self.begins_word = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_SIGN) for i in range(size)])
+        self.merges.pre_tokenizer = CharDelimiterSplit("\n")
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.begins_word = np.array([t.startswith(SPACE_SIGN) for t in tokens])
+        self.ends_word = np.array([t.endswith(WORD_END) for t in tokens])
+        signs = BYTE_SIGNS | {b: b for b in SEEN} | {ord("\n"): ord("\n")}
+        self.signs = np.array([signs[b] for b in range(256)], "<u2")
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        kept = self.kept
-        missing = [w for w in words if w not in kept]
-        fresh = dict(zip(missing, self._encoded(missing)))
-        room = KEPT_WORDS - len(kept)
+        ids = list(map(self.kept.get, words))
+        missing = [w for w, b in zip(words, ids) if b is None]
+        fresh = self._encoded(missing)
+        room = KEPT_WORDS - len(self.kept)
         if room > 0:
-            kept.update(islice(((w, b) for w, b in fresh.items() if len(w) <= KEPT_BYTES), room))
-        return [fresh[w] if w in fresh else kept[w] for w in words]
+            self.kept.update(islice(((w, b) for w, b in fresh.items() if len(w) <= KEPT_BYTES), room))
+        return [fresh[w] if b is None else b for w, b in zip(words, ids)]
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. Many words are encoded as one text, which costs less than a call each.
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word, and of the runs of letters in them."""
+        parts, others, match = {}, [], PLAIN.fullmatch
+        for w in words:
+            found = match(w)
+            # the byte tokenizer's runs are told apart by the space they begin with
+            if not found or not self.drops_space and w[0] != " ":
+                others.append(w)
+            else:
+                letters, marks = found.groups()
+                parts[w] = (letters.lower().lstrip(" ") if self.drops_space else letters, marks)
+        kept = self.kept
+        out = self._merged(list({letters for letters, _ in parts.values() if letters not in kept}))
+        out.update(self._joint(others))
+        for w, (letters, marks) in parts.items():
+            if w not in out:
+                out[w] = (out[letters] if letters in out else kept[letters]) + self._marks(marks)
+        return out
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            ids = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, np.uint32).tobytes()
+            if len(self.marks) >= KEPT_BYTES * KEPT_BYTES:
+                return ids
+            self.marks[marks] = ids
+        return self.marks[marks]
+
+    def _merged(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs of letters, many in one text with a line each."""
+        groups = [runs[a:a + 500] for a in range(0, len(runs), 500)]
+        out: dict[str, bytes] = {}
+        for at in range(0, len(groups), 20):
+            part = groups[at:at + 20]
+            raw = [np.frombuffer("\n".join(g).encode(), np.uint8) for g in part]
+            lines = [self.signs[r].tobytes().decode("utf-16-le") for r in raw]
+            for group, encoding in zip(part, self.merges.encode_batch_fast(lines, add_special_tokens=False)):
+                ids = np.array(encoding.ids, np.uint32)
+                if self.drops_space:
+                    ends = np.flatnonzero(self.ends_word[ids]) + 1
+                    starts = np.append(0, ends[:-1])
+                else:
+                    starts = np.flatnonzero(self.begins_word[ids])
+                    ends = np.append(starts[1:], len(ids))
+                out.update(_cut(group, ids, starts, ends))
+        return out
+
+    def _joint(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of any words. Many are encoded as one text, which costs less than a call each.
 
         In such a text the byte tokenizer's words begin with a token that begins with
         a space; for the word tokenizer a mark stands between them.
@@ -75,14 +141,11 @@ class WordEncoder:
                 else:
                     starts = np.flatnonzero(self.begins_word[ids])
                     ends = np.append(starts[1:], len(ids))
-                if len(starts) != len(group):
-                    raise ValueError("a text of words has another number of words")
-                raw = ids.tobytes()
-                out.update((w, raw[4 * a:4 * b]) for w, a, b in zip(group, starts.tolist(), ends.tolist()))
+                out.update(_cut(group, ids, starts, ends))
         for w in words:
             if w not in out:
                 out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-        return [out[w] for w in words]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text. Null is the empty text."""
@@ -90,35 +153,40 @@ class WordEncoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.drops_space else texts, " ")
+        if self.drops_space:
+            texts = pc.replace_substring(texts, "\n", " ")
+            # special tokens are told by their case, so a text that may hold one keeps it
+            if not pc.any(pc.match_substring(texts, "<|")).as_py():
+                texts = pc.ascii_lower(texts)
+        split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy()
         offsets = offsets - offsets[0]
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         whole = np.zeros(n, bool)
         if self.drops_space:
-            looked = words
+            ids = self._ids(_listed(words))
         else:
             first = offsets[:-1]
-            single = np.array([bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words], bool)
-            whole = np.add.reduceat(~single[codes], first) > 0
-            start, inner = codes[first], np.ones(len(codes), bool)
+            odd = pc.match_substring_regex(words, ODD).to_numpy(zero_copy_only=False)
+            whole = np.add.reduceat(odd[codes], first, dtype=np.int64) > 0
+            inner = np.ones(len(codes), bool)
             inner[first] = False
-            at_start, at_inner = np.unique(start), np.unique(codes[inner])
-            place = np.zeros((2, len(words)), np.int64)
-            place[0, at_start] = np.arange(len(at_start))
-            place[1, at_inner] = len(at_start) + np.arange(len(at_inner))
+            # each word counts twice, as the first of a text and behind a space; odd ones are not looked up
+            used = np.zeros((2, len(words)), bool)
+            used[0, codes[first]] = True
+            used[1, codes[inner]] = True
+            used &= ~odd
+            place = np.cumsum(used).reshape(used.shape) * used
             codes = np.where(inner, place[1][codes], place[0][codes])
-            looked = [words[i] for i in at_start.tolist()] + [" " + words[i] for i in at_inner.tolist()]
-        ids = self._ids(looked)
-        lengths = np.fromiter((len(b) for b in ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        counts = lengths[codes]
-        ends = np.cumsum(counts)
-        out = flat[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(counts.sum())]
-        bounds = np.concatenate([[0], ends])[offsets]
+            begin, behind = (words.filter(pa.array(u)) for u in used)
+            nothing, space = (pa.scalar(t, pa.large_string()) for t in ("", " "))
+            ids = [b"", *self._ids(_listed(begin) + _listed(pc.binary_join_element_wise(nothing, behind, space)))]
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[:len(codes) + 1] // 4
+        out = np.frombuffer(taken.buffers()[2], np.uint32)[:ends[-1]]
+        bounds = ends[offsets]
         if not whole.any():
             return out, np.diff(bounds)
         parts, sizes = [], np.diff(bounds)
@@ -132,6 +200,17 @@ class WordEncoder:
         return np.concatenate(parts), sizes
 
 
+def _listed(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cut(words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, bytes]]:
+    if len(starts) != len(words):
+        raise ValueError("a text of words has another number of words")
+    raw = ids.tobytes()
+    return ((w, raw[4 * a:4 * b]) for w, a, b in zip(words, starts.tolist(), ends.tolist()))
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, drops_space: bool) -> WordEncoder:
     """One encoder per Python worker, file and kind."""
