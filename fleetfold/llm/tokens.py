@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
 
 #: Words whose ids a worker keeps: the first ones, among which the frequent ones are.
-KEPT_WORDS, KEPT_BYTES = 150_000, 48
+KEPT_WORDS, KEPT_BYTES = 400_000, 48
 #: Bytes of text whose words are encoded together.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x01"
 #: How the byte tokenizer writes a space in its tokens, and the word tokenizer the end of a word. Fixed values.
