@@ -1,0 +1,63 @@
+"""The pipeline's near-duplicate stage against brute force."""
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from fleetfold.llm import near_copies, simhash
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def slow_set(text):
+    words = text.lower().split()
+    width = min(5, len(words))
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def slow_kept(rows):
+    root = {i: i for i in range(len(rows))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [slow_set(r[1] or "") for r in rows]
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or both * 100 >= (len(sets[i]) + len(sets[j]) - both) * 80:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r)
+    return sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()), key=str)
+
+
+def test_near_stage_keeps_one_of_each_group(spark):
+    rng = random.Random(5)
+    rows, far = [], 0
+    for base in range(30):
+        words = [f"b{base}x{rng.randrange(500)}" for _ in range(120)]
+        rows.append((len(rows), " ".join(words), "en", "s", 1))
+        for changes in (1, 2, 2, 3, 6):
+            other = list(words)
+            for _ in range(changes):
+                other[rng.randrange(len(other))] = f"new{rng.randrange(10 ** 6)}"
+            far += (simhash.fingerprint(" ".join(other).encode()) ^ simhash.fingerprint(rows[-1][1].encode())).bit_count() > 4
+            rows.append((len(rows), " ".join(other), "en", "s", 1))
+    rows += [(900, "a b", "en", "s", 1), (901, "A  b", "en", "s", 1), (902, None, "en", "s", 1), (903, " ", "en", "s", 1)]
+    assert far > 50  # op7's distance misses most of these copies
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert sorted((r.doc_id for r in got.collect()), key=str) == slow_kept(rows)
+
+
+def test_near_stage_with_null_and_repeated_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, a, "en", "s", 1), (None, a + " more", "en", "s", 1), (1, b, "en", "s", 1), (1, "another text of its own", "en", "s", 1),
+            (None, b + " more", "en", "s", 1), (2, b + " last", "en", "s", 1)]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in got) == [(0, "a0"), (1, "an"), (1, "b0")]
+    assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
