@@ -158,13 +158,13 @@ def quality(
 
     def example_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
-            rows = features(texts_of(batch)).astype(np.float16)
+            rows = features(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "f"])
 
     # at most 2 * per_class rows, in the order of a hash, so that the sums do not depend on tasks
     got = examples.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(example_features, "y int, f binary")
     got = got.orderBy(F.xxhash64("f"), "y").collect()
-    counts = np.array([np.frombuffer(r["f"], np.float16) for r in got], np.float32).reshape(len(got), FEATURES)
+    counts = np.array([np.frombuffer(r["f"], np.float32) for r in got], np.float32).reshape(len(got), FEATURES)
     model = fit(counts, np.array([r["y"] for r in got], int), idf, sizes, dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
