@@ -16,11 +16,11 @@ from fleetfold.llm.common import pieces_of, texts_of
 from fleetfold.llm.examples import held_out, monotone, sample
 from fleetfold.sources.scratch import materialize
 
-#: Bounds of what is sent to every task: examples per class and terms.
-PER_CLASS, TERMS = 4000, 1024
+#: Bound of what is sent to every task: examples per class, and with them their words.
+PER_CLASS = 4000
 NEIGHBOURS, BLOCK = 15, 64
-#: A term tells classes apart when its share differs by this many standard errors.
-LEAST_Z = 5.0
+#: Blocks that are scored one by one before the rest is scored at once.
+FIRST_BLOCKS = 4
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -43,17 +43,9 @@ def _example_words(examples: DataFrame) -> DataFrame:
     return examples.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, word string")
 
 
-def choose_terms(examples: DataFrame, sizes: dict[int, int], terms: int = TERMS, least_z: float = LEAST_Z) -> list[str]:
-    """The words that tell the examples' classes apart best, at most ``terms``."""
-    n = {r["y"]: r["count"] for r in examples.groupBy("y").count().collect()}
-    n0, n1 = max(n.get(0, 0), 1), max(n.get(1, 0), 1)
-    share = (F.col("k0") + F.col("k1")) / (n0 + n1)
-    z = F.abs(F.col("k1") / n1 - F.col("k0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    counted = _example_words(examples).groupBy("word").agg(
-        F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("k0"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("k1")
-    )
-    best = counted.filter("k0 + k1 >= 5").withColumn("z", z).filter(F.col("z") >= least_z)
-    return [r["word"] for r in best.orderBy(F.desc("z"), "word").limit(terms).collect()]
+def vocabulary(examples: DataFrame) -> list[str]:
+    """All different words of the examples, in order; bounded by the examples."""
+    return [r["word"] for r in _example_words(examples).select("word").distinct().orderBy("word").collect()]
 
 
 def term_vectors(docs: DataFrame, terms: list[str], more: list[str] = []) -> DataFrame:
@@ -85,10 +77,12 @@ class Index:
     idf: np.ndarray
     labels: np.ndarray
     doc_ids: np.ndarray
-    offsets: np.ndarray  # [term, block]: where the block's postings begin
+    offsets: np.ndarray  # [term]: where its postings begin and end
     examples: np.ndarray
     weights: np.ndarray
-    largest: np.ndarray  # [term, block]
+    cells: np.ndarray  # [term]: where its blocks begin and end in the next two
+    blocks: np.ndarray
+    largest: np.ndarray
     class_weight: np.ndarray
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     empty_score: float = 0.0
@@ -104,15 +98,28 @@ class Index:
         Blocks are taken by falling bound; a block whose bound is below the k-th best
         cosine so far, and all behind it, cannot hold a nearer example.
         """
-        bound = weights @ self.largest[terms]
+        bound = np.zeros(max(-(-len(self.labels) // BLOCK), 1))
+        for t, w in zip(terms, weights.tolist()):
+            a, b = self.cells[t]
+            bound[self.blocks[a:b]] += w * self.largest[a:b]
         order = np.argsort(-bound, kind="stable")
         best, number = np.zeros(0), np.zeros(0, np.int64)
-        for block in order.tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-9:
+        for at, block in enumerate(order.tolist()):
+            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-6:
                 break
+            if at == FIRST_BLOCKS:  # the bounds are loose: all blocks at once, by whole postings
+                score = np.zeros(len(self.labels))
+                for t, w in zip(terms, weights.tolist()):
+                    a, b = self.offsets[t]
+                    score[self.examples[a:b]] += w * self.weights[a:b]
+                own = np.flatnonzero(score > 0)
+                own = own[own != without]
+                top = np.lexsort((own, -np.round(score[own], 9)))[:k]
+                return own[top], score[own[top]]
             score = np.zeros(BLOCK)
             for t, w in zip(terms, weights.tolist()):
-                a, b = self.offsets[t, block], self.offsets[t, block + 1]
+                a, b = self.offsets[t]
+                a, b = a + np.searchsorted(self.examples[a:b], (block * BLOCK, (block + 1) * BLOCK))
                 if b > a:
                     score[self.examples[a:b] - block * BLOCK] += w * self.weights[a:b]
             own = np.flatnonzero(score > 0)
@@ -145,24 +152,24 @@ def build_index(
     empty = [r for r in rows if not r[2]]
     held = [r for r in rows if r[2]]
     blocks = max(-(-len(held) // BLOCK), 1)
-    lists: list[list[tuple[int, float]]] = [[] for _ in idf]
+    of_term, of_example, of_weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for number, (_, _, terms, counts) in enumerate(held):
         weights = (1 + np.log(np.array(counts, float))) * idf[terms]
-        weights /= np.sqrt((weights ** 2).sum()) or 1.0
-        for t, w in zip(terms, weights.tolist()):
-            lists[t].append((number, w))
-    offsets = np.zeros((len(idf), blocks + 1), np.int64)
-    largest = np.zeros((len(idf), blocks))
-    examples = np.array([e for posting in lists for e, _ in posting], np.int64)
-    values = np.array([w for posting in lists for _, w in posting])
-    at = 0
-    for t, posting in enumerate(lists):
-        own = examples[at:at + len(posting)]
-        offsets[t] = at + np.searchsorted(own, np.arange(blocks + 1) * BLOCK)
-        np.maximum.at(largest[t], own // BLOCK, values[at:at + len(posting)])
-        at += len(posting)
+        of_term.append(np.array(terms, np.int64))
+        of_example.append(np.full(len(terms), number))
+        of_weight.append(weights / (np.sqrt((weights ** 2).sum()) or 1.0))
+    term, examples, values = (np.concatenate(x) for x in (of_term, of_example, of_weight))
+    by_term = np.argsort(term, kind="stable")  # examples stay in order
+    term, examples, values = term[by_term], examples[by_term], values[by_term]
+    ends = np.searchsorted(term, np.arange(len(idf) + 1))
+    offsets = np.stack([ends[:-1], ends[1:]], axis=1)
+    # a cell is a term's postings in one block; only those that are there are held
+    cell, first = np.unique(term * blocks + examples // BLOCK, return_index=True)
+    largest = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
+    ends = np.searchsorted(cell // blocks, np.arange(len(idf) + 1))
+    cells = np.stack([ends[:-1], ends[1:]], axis=1)
     labels = np.array([r[1] for r in held], np.int64)
-    index = Index(idf, labels, np.array([r[0] for r in held], np.int64), offsets, examples, values, largest, class_weight)
+    index = Index(idf, labels, np.array([r[0] for r in held], np.int64), offsets, examples, values, cells, cell % blocks, largest, class_weight)
     w0, w1 = (class_weight * [sum(r[1] == y for r in empty) for y in (0, 1)]).tolist()
     prior = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     index.empty_score = (w1 + prior) / (w0 + w1 + 1)
@@ -178,21 +185,22 @@ def build_index(
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, terms: int = TERMS,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS,
     neighbours: int = NEIGHBOURS, threshold: float = 0.5,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence the nearest examples and their cosines.
 
-    Terms and examples are learned from at most ``per_class`` labelled rows per class
-    outside the held-out fold; document frequencies count all documents. A text
+    Examples are at most ``per_class`` labelled rows per class outside the held-out
+    fold, and terms are all their words; document frequencies count all documents.
+    Words that no example has are in no cosine. A text
     without a known term (null and empty ones too) has the score of such examples,
     and no evidence. Without any label, every score is 0.5's prior of an empty sample, 0.
     Repeated rows give a row each.
     """
     examples, sizes = sample(docs, labels, label, per_class)
-    chosen = choose_terms(examples, sizes, terms) or ["\0"]
+    chosen = vocabulary(examples) or ["\0"]
     vectors = materialize(term_vectors(docs, chosen), "term-vectors")
-    counted = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # at most ``terms`` rows
+    counted = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # a row per word of the examples at most
     n = vectors.count()
     df = np.zeros(len(chosen))
     for r in counted:
