@@ -158,9 +158,13 @@ def mix_sources(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None =
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
-    """The documents that the mix takes, all columns as they are, one row per epoch; the last of a leaf whole."""
-    taken = mix_sources(docs, mix).select("doc_id", F.col("epoch").alias("_epoch")).distinct()
-    return docs.join(taken, "doc_id").select(*docs.columns)
+    """The documents that the mix takes, all columns as they are, one row per epoch; the last of a leaf whole.
+
+    Rows are judged by doc_id alone, null being an id like any other: rows that
+    repeat an id come with it.
+    """
+    taken = mix_sources(docs, mix).select(F.col("doc_id").alias("_id"), F.col("epoch").alias("_epoch")).distinct()
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
 
 
 SQL = r"""
