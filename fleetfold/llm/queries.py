@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetfold.llm import (
-    exact_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_files, toxicity,
+    exact_dedup, filter_audit, mixing, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_files, toxicity,
 )
 from fleetfold.llm.common import table
 
@@ -65,11 +65,16 @@ def op10_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), BYTE_TOKENIZER())
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, f"{sf_dir.rstrip('/')}/documents*.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_automaton, op2_toxicity_neighbours, op3_source_mix, op4_suffix_dedup, op5_quality_neighbours,
         op6_line_frequency_rules, op7_simhash, op8_chunk_recipes, op9_token_files, op10_concatenate_and_cut,
+        op12_filter_audit,
     )
 }
 
@@ -77,4 +82,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": mixing.SQL,
     "op6_line_frequency_rules": quality_rules.SQL,
     "op8_chunk_recipes": exact_dedup.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
