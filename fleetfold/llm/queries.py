@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetfold.llm import (
-    exact_dedup, filter_audit, mixing, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_files, toxicity,
+    exact_dedup, filter_audit, minhash_join, mixing, packing, phrases, quality_classifier, quality_rules, secrets, simhash,
+    suffix_dedup, token_files, toxicity,
 )
 from fleetfold.llm.common import table
 
@@ -65,16 +66,24 @@ def op10_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), BYTE_TOKENIZER())
 
 
+def op11_phrase_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(spark, f"{sf_dir.rstrip('/')}/documents*.parquet", table(spark, sf_dir, "labels"))
 
 
+def op13_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_automaton, op2_toxicity_neighbours, op3_source_mix, op4_suffix_dedup, op5_quality_neighbours,
         op6_line_frequency_rules, op7_simhash, op8_chunk_recipes, op9_token_files, op10_concatenate_and_cut,
-        op12_filter_audit,
+        op11_phrase_trie, op12_filter_audit, op13_minhash_join,
     )
 }
 
@@ -82,5 +91,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": mixing.SQL,
     "op6_line_frequency_rules": quality_rules.SQL,
     "op8_chunk_recipes": exact_dedup.SQL,
+    "op11_phrase_trie": phrases.SQL,
     "op12_filter_audit": filter_audit.SQL,
 }
