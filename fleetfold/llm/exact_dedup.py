@@ -93,12 +93,21 @@ def exact_groups(docs: DataFrame, identifiers: list = IDENTIFIERS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row per document."""
-    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays"))
-    rows = docs.withColumn("_sha", F.sha2(normalised(whole_text()), 256))
-    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stays")), "left_semi")
-    first = Window.partitionBy("doc_id", "_sha").orderBy("doc_id")
-    return joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; one row per document.
+
+    ``docs`` may have columns of any name. Whole texts move once, for the last join.
+    """
+    key = ["none", "id", "sha"]
+
+    def keys(sha: Column) -> list[Column]:
+        return [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), sha.alias("sha")]
+
+    stay = exact_groups(docs).filter("kept").select(*keys(F.col("text_sha256")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, *keys(F.sha2(normalised(whole_text()), 256))).join(stay, key, "left_semi")
+    # the join has dealt out and sorted the rows by their key already
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("sha"))
+    return rows.withColumn("at", first).filter("at = 1").select("row.*")
 
 
 SQL = r"""

@@ -185,7 +185,9 @@ def clean_documents(
 ) -> DataFrame:
     """The kept documents with the columns of ``docs``, their text without boilerplate lines."""
     own = {c: f"_own_{c}" for c in docs.columns if c in MADE}
-    judged = _judged(docs.withColumnsRenamed(own), own.get(host, host), line_docs, line_percent, left_percent).filter("kept")
+    judged = _judged(docs.withColumnsRenamed(own), own.get(host, host), line_docs, line_percent, left_percent)
+    # a filter on the verdict must not travel below the statistics, which would be computed again for it
+    judged = judged.select(F.inline_outer(F.array(F.struct("*")))).filter("kept")
     left = let(F.col("common"), lambda common: F.array_join(F.filter(
         F.split(whole_text(), "\n"), lambda line: ~F.array_contains(common, F.xxhash64(normal_line(line)))), "\n"))
     text = F.when(F.col("common").isNull(), F.col("text")).otherwise(left)

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfold.llm.common import pieces_of, texts_of
@@ -189,7 +189,43 @@ def hex_of(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, all columns as they are."""
-    stay = simhash_groups(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+_KEY = ["none", "id", "ta", "tb"]
+
+
+def _keyed_fingerprints(rows: DataFrame, width: int) -> DataFrame:
+    """The key of each row and fp, its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text"):
+            fps = np.array([fingerprint(t, width) for t in texts_of(batch)], dtype=np.uint64)
+            keys = [batch.column(i) for i in range(len(_KEY))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(fps.view(np.int64))], [*_KEY, "fp"])
+
+    return rows.select(*_KEY, "text").mapInArrow(run, "none boolean, id bigint, ta bigint, tb bigint, fp bigint")
+
+
+def keep_one(
+    docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, blocks: int = BLOCKS, tile: int = TILE
+) -> DataFrame:
+    """One row of ``docs`` of each component, the one with the smallest doc_id, all columns as they are.
+
+    Who stays is settled on narrow rows (doc_id and 128 bits of the text), so whole texts
+    move once. A null doc_id is larger than any other, and a component with null ids
+    only keeps one row too; of rows with the same id that of the smallest text key
+    stays, of rows alike in both one. ``docs`` may have columns of any name.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"),
+        F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(1), text).alias("tb"), "text",
+    )
+    prints = materialize(_keyed_fingerprints(rows, width), "fingerprints")
+    distinct = materialize(prints.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(distinct, distance, blocks, tile))
+    placed = prints.join(roots, prints["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = placed.groupBy("root").agg(F.min(F.struct(*_KEY)).alias("s")).select("s.*")
+    kept = rows.drop("text").join(materialize(stay, "stay"), _KEY, "left_semi")
+    # the join has dealt out and sorted the rows by their key already
+    first = F.row_number().over(Window.partitionBy(*_KEY).orderBy("tb"))
+    return kept.withColumn("at", first).filter("at = 1").select("row.*")
