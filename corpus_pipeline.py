@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetfold.llm import exact_dedup, mixing, near_copies, packing, quality_rules
+from fleetfold.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from fleetfold.llm.common import table
 from fleetfold.llm.queries import BYTE_TOKENIZER
 from fleetfold.sources.scratch import scratch_dir
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
-    return near_copies.keep_one(docs, width=5, percent=80)
+    """One document of each SimHash component: 4-word shingles, links at 4 or fewer differing bits."""
+    return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
