@@ -11,15 +11,22 @@ from fleetfold.sources.scratch import materialize
 
 
 def group_values(df: DataFrame, key: str, value: str, width: int = 4096) -> DataFrame:
-    """All values per key across a shuffle.
-
-    A key may own any number of rows, so equal values are counted before the
-    shuffle and a key's values are kept as one array per range of ``width`` values
-    instead of one array per key. The rows of a key together hold every value.
+    """All values per key across a shuffle: key, part and vals, at most ``width`` different values in order.
+
+    A key may own any number of rows, and its values may be of any type that has an
+    order and lie however they like. Equal values are counted before the shuffle. The
+    ranges of the shuffle come from Spark's sample of the counted pairs, so they hold
+    about the same number of pairs each; inside a range the sorted pairs are cut into
+    arrays. A key's parts are ordered like its values, its rows together hold every
+    value, and no array and no task grows with a key.
     """
-    counted = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    part = F.floor(F.col(value) / F.lit(width)).alias("part")
-    return counted.groupBy(key, part).agg(
+    counted = materialize(df.groupBy(key, value).agg(F.count("*").alias("n")), "group-values")
+    ranged = counted.repartitionByRange(key, value).sortWithinPartitions(key, value)
+    # the number of a row in its range is the low part of its id
+    numbered = ranged.withColumn("_id", F.monotonically_increasing_id())
+    low = F.col("_id") % F.lit(1 << 33)
+    part = (F.col("_id") - low + F.floor(low / F.lit(width))).alias("part")
+    return numbered.groupBy(key, part).agg(
         F.sort_array(F.collect_list(F.struct(F.col(value).alias("value"), "n"))).alias("vals")
     )
 

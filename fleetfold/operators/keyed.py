@@ -103,6 +103,25 @@ def prefix_totals(
     )
 
 
+def carry_last(df: DataFrame, keys: list[str], place: list[str], chunk: int, value: Column, name: str) -> DataFrame:
+    """The last ``value`` that is not null on an earlier row of the key, in the order of ``place``.
+
+    ``place`` is (block, number): the rows of a block are cut into chunks of ``chunk``
+    numbers. The last value of each chunk is found first; a window over chunks carries
+    it on, and a window over the rows of one chunk does the rest, so no window holds
+    all rows of a key.
+    """
+    block, number = place
+    rows = df.withColumns({"_v": value, "_chunk": F.floor(F.col(number) / F.lit(chunk))})
+    of_chunk = [*keys, block, "_chunk"]
+    held = rows.groupBy(*of_chunk).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(number))).alias("_own"))
+    earlier = Window.partitionBy(*keys).orderBy(block, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_carried", F.last("_own", ignorenulls=True).over(earlier)).drop("_own")
+    inside = Window.partitionBy(*of_chunk).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    found = join_null_safe(rows, held, of_chunk).withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
+    return found.withColumn(name, F.coalesce("_in", "_carried")).drop("_v", "_chunk", "_in", "_carried")
+
+
 def first_per_key(
     df: DataFrame, keys: list[str], n: str, levels: list[Column], order: list[str]
 ) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fleetfold import schema as S
 from fleetfold.functions import pods as P
 from fleetfold.operators.keyed import salted_lookup
+from fleetfold.operators.state import latest_state
+from fleetfold.sources.scratch import materialize
 
 
 def select_labels(
@@ -65,35 +67,49 @@ def select_apps(pods: DataFrame, submission_id: str) -> DataFrame:
     return pods.filter(scope & hit)
 
 
-def select_many_apps(pods: DataFrame, requests: DataFrame) -> DataFrame:
-    """:func:`select_apps` for a table of ids: each match with its ``submission_id``.
+def matched_names(names: DataFrame, requests: DataFrame) -> DataFrame:
+    """submission_id, namespace and name of every match, from a dictionary of names.
 
-    Prefixes become equality: a driver's name is expanded into its own prefixes of the
-    lengths that were asked for, which are looked up like exact names. That keeps the
-    join hash-based, and the lookup is salted because a short prefix may match every
-    driver.
+    ``names`` (namespace, name, is_driver) has one row per name. A name is looked up as
+    it is for the requests without an asterisk, and, for a driver, by its own prefixes
+    of the lengths that were asked for: prefixes become equality, the join stays
+    hash-based, and only names are multiplied, never documents. Both kinds share
+    one lookup, which is salted because a short prefix may match every driver.
     """
     namespace, name = _id_parts(F.col("submission_id"))
-    asked = requests.select("submission_id", namespace.alias("_ns"), name.alias("_name"))
+    asked = requests.select("submission_id", namespace.alias("_ns"), name.alias("_name")).distinct()
     is_glob = F.col("_name").endswith("*")
-    exact = asked.filter(~is_glob)
-    globs = asked.filter(is_glob).withColumn("_name", F.expr("left(_name, length(_name) - 1)"))
-    by_name = salted_lookup(
-        pods.withColumn("_name", F.col("name")), exact, ["_name"], "inner", salt_by=["uid"]
+    wanted = asked.select(
+        "submission_id", "_ns", is_glob.alias("_glob"),
+        F.when(is_glob, F.expr("left(_name, length(_name) - 1)")).otherwise(F.col("_name")).alias("_text"),
     )
-    drivers = pods.filter(F.col("labels")[S.ROLE_LABEL] == S.DRIVER_ROLE)
-    # a set of name lengths, so at most a few hundred numbers
-    asked_lengths = globs.agg(F.collect_set(F.length("_name"))).scalar()
-    expanded = (
-        drivers.withColumn("_lens", asked_lengths)
-        .select("*", F.explode("_lens").alias("_len"))
-        .filter(F.col("_len") <= F.length("name"))
-        .withColumn("_name", F.expr("left(name, _len)"))
-        .drop("_len", "_lens")
+    # a set of lengths of names, so at most a few hundred numbers
+    lengths = wanted.agg(F.coalesce(F.collect_set(F.when(F.col("_glob"), F.length("_text"))), F.array().cast("array<int>"))).scalar()
+    keys = F.when(F.col("is_driver"), F.filter("_lengths", lambda n: n <= F.length("name"))).otherwise(F.array().cast("array<int>"))
+    looked = names.withColumn("_lengths", lengths).withColumn("_len", F.explode(F.concat(F.array(F.lit(-1)), keys))).select(
+        "namespace", "name", (F.col("_len") >= 0).alias("_glob"),
+        F.when(F.col("_len") < 0, F.col("name")).otherwise(F.expr("left(name, _len)")).alias("_text"),
     )
-    by_prefix = salted_lookup(expanded, globs, ["_name"], "inner", salt_by=["uid"])
-    found = by_name.unionByName(by_prefix)
-    return found.filter(F.col("_ns").isNull() | (F.col("_ns") == F.col("namespace"))).drop("_ns", "_name")
+    found = salted_lookup(looked, wanted, ["_glob", "_text"], "inner", salt_by=["namespace", "name"])
+    return found.filter(F.col("_ns").isNull() | (F.col("_ns") == F.col("namespace"))).select("submission_id", "namespace", "name")
+
+
+def _names(pods: DataFrame) -> DataFrame:
+    is_driver = F.coalesce(F.col("labels")[S.ROLE_LABEL] == S.DRIVER_ROLE, F.lit(False))
+    return pods.select("namespace", "name", is_driver.alias("is_driver")).distinct()
+
+
+def select_many_apps(pods: DataFrame, requests: DataFrame) -> DataFrame:
+    """:func:`select_apps` for a table of ids: each match with its ``submission_id``.
+
+    Requests are matched with the dictionary of the documents' names; documents are
+    joined once at the end, by name. A name may have most documents, and a request
+    matches a driver's prefix only by documents in the driver's role.
+    """
+    is_driver = F.coalesce(F.col("labels")[S.ROLE_LABEL] == S.DRIVER_ROLE, F.lit(False))
+    matches = matched_names(_names(pods), requests).withColumn("_glob", F.col("submission_id").endswith("*")).distinct()
+    found = salted_lookup(pods, matches, ["namespace", "name"], "inner", salt_by=["uid"])
+    return found.filter(~F.col("_glob") | is_driver).drop("_glob")
 
 
 def container_summary(pods: DataFrame) -> DataFrame:
@@ -104,22 +120,25 @@ def status_report(pods: DataFrame) -> DataFrame:
     return pods.withColumn("report", P.status_report())
 
 
+#: What a report reads of a document.
+_REPORTED = ["labels", "uid", "creation_ts", "service_account", "volumes", "node_name", "start_time", "phase", "containers"]
+
+
 def status_rows(requests: DataFrame, pods: DataFrame) -> DataFrame:
-    """Report lines for every requested id, or one line that says nothing was found."""
-    found = status_report(select_many_apps(pods, requests)).select(
-        "submission_id",
-        F.lit(True).alias("found"),
-        F.concat(F.lit("Application status (driver): "), "report").alias("line"),
-    )
-    none = F.when(F.col("submission_id").endswith("*"), "No applications found.").otherwise(
-        "Application not found."
-    )
-    missing = requests.select("submission_id").join(
+    """Report lines for every requested id, or one line that says nothing was found.
+
+    A report is of a document as it is now: the last one per name. The requests are matched
+    once; the ids without a match are found in the written matches.
+    """
+    current = latest_state(pods, ["seq", *_REPORTED], keys=["namespace", "name"])
+    found = materialize(status_report(select_many_apps(current, requests)).select(
+        "submission_id", F.lit(True).alias("found"), F.concat(F.lit("Application status (driver): "), "report").alias("line"),
+    ), "status-found")
+    none = F.when(F.col("submission_id").endswith("*"), "No applications found.").otherwise("Application not found.")
+    missing = requests.select("submission_id").distinct().join(
         found.select("submission_id").distinct(), "submission_id", "left_anti"
     )
-    return found.unionByName(
-        missing.select("submission_id", F.lit(False).alias("found"), none.alias("line"))
-    )
+    return found.unionByName(missing.select("submission_id", F.lit(False).alias("found"), none.alias("line")))
 
 
 def status_report_sink(requests: DataFrame, pods: DataFrame, path: str) -> None:

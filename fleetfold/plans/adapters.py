@@ -104,6 +104,10 @@ def pod_rows(raw: DataFrame) -> DataFrame:
             F.when(k % 3 == 0, "Ready").otherwise("Initialized").alias("type"),
             F.when(k % 4 == 0, "False").otherwise("True").alias("status"),
         )).alias("conditions"),
+        F.when(k % 7 == 0, S.DRIVER_ROLE).otherwise(S.EXECUTOR_ROLE).alias("role"),
+        (k >= 95).alias("inactive"),
+        F.concat(F.lit("job-"), text).alias("job_name"),
+        none.cast("bigint").alias("listing_rows"),
     )
 
 

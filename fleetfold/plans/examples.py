@@ -10,14 +10,19 @@ from fleetfold.plans.catalog import query
 from fleetfold.sources.scratch import scratch_dir
 
 
+_WIDTH = 50
+
+
 @query("group_values", """
-WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT l_suppkey, l_partkey // 4096 AS part, string_agg(concat(CAST(l_partkey AS VARCHAR), 'x', CAST(n AS VARCHAR)), ',' ORDER BY l_partkey) AS vals
-FROM c GROUP BY ALL""")
+SELECT l_suppkey, l_extendedprice, count(*) AS n, true AS bounded, true AS in_order FROM lineitem GROUP BY ALL""")
 def group_values(spark, d):
-    grouped = J.group_values(A.table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
-    text = F.transform("vals", lambda v: F.concat_ws("x", v["value"].cast("string"), v["n"].cast("string")))
-    return grouped.select("l_suppkey", "part", F.array_join(text, ",").alias("vals"))
+    """Prices of each supplier: fractions, most of them different; each array short and in order."""
+    grouped = J.group_values(A.table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", _WIDTH)
+    values = F.col("vals.value")
+    ordered = F.array_sort(values) == values
+    return grouped.select(
+        "l_suppkey", (F.size("vals") <= _WIDTH).alias("bounded"), ordered.alias("in_order"), F.explode("vals").alias("v")
+    ).select("l_suppkey", F.col("v.value").alias("l_extendedprice"), F.col("v.n").alias("n"), "bounded", "in_order")
 
 
 @query("rows_seen", "SELECT count(*) AS first_pass, count(*) AS second_pass FROM lineitem")

@@ -178,17 +178,12 @@ def select_apps(spark, d):
     return Q.select_apps(A.pods(spark, d), "ns-1:app-3-exec-1*").select("seq", "name")
 
 
-# requests made of the customers: exact names, prefixes, with and without a namespace
-_REQUESTS = [
-    ("c_custkey % 4 = 0", "concat('app-', CAST(c_custkey % 7 AS STRING), '-exec-', CAST(c_custkey AS STRING))"),
-    ("c_custkey % 4 = 1",
-     "concat('ns-', CAST(c_custkey % 3 AS STRING), ':app-', CAST(c_custkey % 7 AS STRING), '-exec-', CAST(c_custkey AS STRING))"),
-    ("c_custkey % 40 = 2", "concat('app-', CAST(c_custkey % 9 AS STRING), '-exec-', CAST(c_custkey % 10 AS STRING), '*')"),
-    ("c_custkey % 40 = 3", "concat('ns-', CAST(c_custkey % 4 AS STRING), ':app-', CAST(c_custkey % 7 AS STRING), '*')"),
-]
-_REQUEST_SQL = "SELECT DISTINCT submission_id FROM (" + " UNION ALL ".join(
-    f"SELECT {e} AS submission_id FROM customer WHERE {c}" for c, e in _REQUESTS
-) + ")"
+# one request of every customer: exact names and prefixes, with and without a namespace
+_REQUEST = ("CASE c_custkey % 4 WHEN 0 THEN concat('app-', CAST(c_custkey % 7 AS STRING), '-exec-', CAST(c_custkey AS STRING)) "
+            "WHEN 1 THEN concat('ns-', CAST(c_custkey % 3 AS STRING), ':app-', CAST(c_custkey % 7 AS STRING), '-exec-', CAST(c_custkey AS STRING)) "
+            "WHEN 2 THEN concat('app-', CAST(c_custkey % 9 AS STRING), '-exec-', CAST(c_custkey % 10 AS STRING), '*') "
+            "ELSE concat('ns-', CAST(c_custkey % 4 AS STRING), ':app-', CAST(c_custkey % 7 AS STRING), '*') END")
+_REQUEST_SQL = f"SELECT DISTINCT {_REQUEST} AS submission_id FROM customer"
 _MATCH_SQL = """SELECT r.submission_id, p.* FROM
   (SELECT submission_id, CASE WHEN contains(submission_id, ':') THEN split_part(submission_id, ':', 1) END AS ns,
      CASE WHEN contains(submission_id, ':') THEN split_part(submission_id, ':', 2) ELSE submission_id END AS nm FROM requests) r
@@ -197,9 +192,7 @@ _MATCH_SQL = """SELECT r.submission_id, p.* FROM
 
 
 def _requests(spark, d):
-    customer = A.table(spark, d, "customer")
-    parts = F.array_compact(F.array(*[F.when(F.expr(c), F.expr(e)) for c, e in _REQUESTS]))
-    return customer.select(F.explode(parts).alias("submission_id")).distinct()
+    return A.table(spark, d, "customer").select(F.expr(_REQUEST).alias("submission_id")).distinct()
 
 
 @query("select_many_apps", with_tables("pods", more={"requests": _REQUEST_SQL, "m": _MATCH_SQL}, body="""
@@ -208,7 +201,7 @@ def select_many_apps(spark, d):
     return Q.select_many_apps(A.pods(spark, d), _requests(spark, d)).select("submission_id", "seq")
 
 
-STATUS_SQL = with_tables("pods", more={"requests": _REQUEST_SQL, "m": _MATCH_SQL}, body="""
+STATUS_SQL = with_tables("latest", more={"requests": _REQUEST_SQL, "m": _MATCH_SQL.replace("JOIN pods p", "JOIN latest p")}, body="""
 SELECT submission_id, true AS found, count(*) AS n FROM m GROUP BY submission_id
 UNION ALL SELECT submission_id, false AS found, 1 AS n FROM requests WHERE submission_id NOT IN (SELECT submission_id FROM m)""")
 
@@ -332,9 +325,15 @@ def known_count(spark, d):
     return _status(spark, d).select("app_id", "profile_id", R.known_count().alias("known"))
 
 
+def missing_text_sql(delta: int = S.MISSING_DELTA_MS) -> str:
+    """The message of a missing member, built from the same fixed text."""
+    return "printf('" + S.MISSING_TEXT.replace("%d ms) configured", f"{delta} ms) configured") + "', r.exec_id, r.registered_ms, CAST(" + str(A.LISTING_MS) + " AS BIGINT))"
+
+
 @query("missing_members", with_tables("registrations", "folded", more={"gone": """
 SELECT DISTINCT app_id, exec_id FROM pods WHERE k = 3"""}, body=f"""
-SELECT r.app_id, r.exec_id, -1 AS exit_code, false AS by_app, CAST({A.LISTING_MS} AS BIGINT) AS sync_ts FROM registrations r
+SELECT r.app_id, r.exec_id, -1 AS exit_code, false AS by_app, CAST({A.LISTING_MS} AS BIGINT) AS sync_ts,
+ {missing_text_sql()} AS exit_message FROM registrations r
 WHERE r.app_id IN (SELECT app_id FROM listing) AND {A.LISTING_MS} - r.registered_ms > 30000
  AND NOT EXISTS (SELECT 1 FROM folded f WHERE f.app_id = r.app_id AND f.exec_id = r.exec_id)
  AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.app_id = r.app_id AND g.exec_id = r.exec_id)"""))
@@ -346,7 +345,7 @@ def missing_members(spark, d):
     found = L.missing_members(
         A.registrations(changes), ST.fold_state(changes, full), full, gone, gone
     )
-    return found.select(*S.MEMBER, "exit_code", "by_app", "sync_ts")
+    return found.select(*S.MEMBER, "exit_code", "by_app", "sync_ts", "exit_message")
 
 
 @query("jobs_to_delete", with_tables("state", "ledger", "jobs", body="""
@@ -538,13 +537,6 @@ def ledger_after_cycle(spark, d):
     return _cycle(spark, d).ledger
 
 
-# one round of the streaming form: an empty ledger, and the newest event as the clock
-STREAM_CYCLE_SQL = _cycle_sql("""
-SELECT app_id, profile_id, 'delete' AS decision, exec_id FROM trim
-UNION ALL SELECT app_id, profile_id, 'request' AS decision, exec_id FROM req""").replace(
-    "FROM customer", "FROM customer WHERE false").replace(str(NOW_MS), "(SELECT max(ts_ms) FROM e0)")
-
-
 # --- lifecycle ------------------------------------------------------------------------------------------
 
 @query("lifecycle_events", with_tables("pods", more={"x": f"SELECT *, {STATE_SQL} AS state, {EXIT_SQL} AS exit_code FROM pods"}, body="""

@@ -38,27 +38,73 @@ def read_changes(spark, d):
     )
 
 
-# one folder per app and file name; the name decides whether the file is read
-_FILE_NAMES = ("CASE WHEN doc_id % 5 = 0 THEN concat(lang, '.conf') WHEN doc_id % 5 = 1 THEN concat(lang, '.template') "
-               "WHEN doc_id % 5 = 2 THEN concat('spark-', lang, '.conf') WHEN doc_id % 5 = 3 THEN concat(lang, '.tar') "
-               "ELSE concat(lang, '.txt') END")
+@query("read_listing_of_jobs", with_tables("listing", "jobs", body="""
+SELECT l.app_id, l.exec_id, l.phase, l.role FROM listing l JOIN jobs j ON j.app_id = l.app_id AND j.exec_id = l.exec_id"""))
+def read_listing_of_jobs(spark, d):
+    """Batch scheduler: documents of known jobs, whatever their role; a fifth of them has no role label."""
+    path = scratch_dir(spark, "listing-jobs")
+    pods = A.by_time(A.pods(spark, d))
+    bare = F.map_filter("labels", lambda k, v: (k != S.ROLE_LABEL) | (F.col("exec_id") % 5 != 0))
+    unlabelled = A.listing(pods).drop("ts_us", "role", "inactive", "job_name").withColumn("labels", bare)
+    D.write_documents(unlabelled, path, job_label="job", format="parquet")
+    found = D.read_listing(spark, path, jobs=A.jobs(pods), format="parquet")
+    # the role as it was written, to show that documents without one are found
+    kept = found.join(A.listing(pods).select(*S.MEMBER, F.col("role").alias("_role")), S.MEMBER)
+    return kept.select(*S.MEMBER, "phase", F.coalesce("role", "_role").alias("role"))
+
+
+@query("read_changes_of_jobs", with_tables("pods", "jobs", body="""
+SELECT p.seq, p.app_id, p.exec_id, p.role, p.inactive FROM pods p JOIN jobs j ON j.app_id = p.app_id AND j.exec_id = p.exec_id"""))
+def read_changes_of_jobs(spark, d):
+    """The same for a stream of changes, which also holds inactive members."""
+    out = scratch_dir(spark, "changes-jobs")
+    pods = A.pods(spark, d)
+    D.write_documents(pods.drop("ts_us", "role", "inactive", "job_name"), f"{out}/inbox", job_label="job")
+    rows = D.read_changes(spark, f"{out}/inbox", streaming=True, jobs=A.jobs(pods))
+    columns = ["seq", *S.MEMBER, "role", "inactive"]
+    rows.select(*columns).writeStream.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).foreachBatch(
+        lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={i}")
+    ).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(*columns)
+
+
+# the name decides whether a file is read; every fifth is hidden from Spark's own sources
+_FILE_NAMES = ("concat(CASE WHEN doc_id % 5 = 4 THEN '.' WHEN doc_id % 10 = 5 THEN '_' WHEN doc_id % 5 = 2 THEN 'spark-' ELSE '' END, lang, "
+               "CAST(doc_id AS STRING), CASE WHEN doc_id % 5 = 1 THEN '.template' WHEN doc_id % 5 = 3 THEN '.tar' ELSE '.conf' END)")
+_FILE_BUDGET = 20_000
 
 
 @query("read_conf_files", f"""
-SELECT source AS app_id, {_FILE_NAMES} AS file_name, CAST(sum(strlen(concat('doc.', CAST(doc_id AS VARCHAR), ' ', lang)) + 1) AS BIGINT) AS n_bytes, count(*) AS n_lines
-FROM documents WHERE doc_id % 5 IN (0, 4) GROUP BY source, {_FILE_NAMES}""")
+SELECT *, CASE WHEN reason IS NULL THEN sha256(text) END AS content_sha256 FROM (SELECT source AS app_id, {_FILE_NAMES} AS file_name,
+  CAST(strlen(text) AS BIGINT) AS n_bytes, text, CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'name' WHEN strlen(text) + length({_FILE_NAMES}) > {_FILE_BUDGET}
+  THEN 'size' END AS reason FROM documents)""".replace("SELECT *,", "SELECT app_id, file_name, n_bytes, reason,", 1))
 def read_conf_files(spark, d):
+    """Every document as a file of its own with its whole text; rejected ones with their reason."""
     path = scratch_dir(spark, "conf-files")
-    lines = A.table(spark, d, "documents").select(
-        F.col("source").alias("app_id"), F.expr(_FILE_NAMES).alias("file_name"),
-        F.concat(F.lit("doc."), F.col("doc_id").cast("string"), F.lit(" "), "lang").alias("value"),
-    )
-    lines.repartition("app_id", "file_name").write.partitionBy("app_id", "file_name").text(path)
-    found = CF.read_conf_files(spark, path, folder_names=True)
-    return found.select(
-        "app_id", "file_name", "n_bytes",
-        (F.size(F.split("content", "\n")) - 1).cast("bigint").alias("n_lines"),
+    docs = A.table(spark, d, "documents").select(
+        F.col("source").alias("app_id"), F.expr(_FILE_NAMES).alias("file_name"), F.col("text").alias("content"),
     )
+    CF.write_conf_files(docs, path)
+    found = CF.read_conf_files(spark, path, budget=_FILE_BUDGET, rejected=True)
+    return found.select("app_id", "file_name", "n_bytes", "reason", F.sha2("content", 256).alias("content_sha256"))
+
+
+# a value in three lines, an escape that stands for itself, and one in seven records that cannot be read
+_RECORD = ("concat('doc\\\\ key\\\\:', CAST(doc_id AS STRING), ' = ', lang, '\\\\bx, \\\\\n   \\\\u00e9', source, CASE WHEN doc_id % 7 = 0 THEN '\\\\u12' ELSE '' END, "
+           "' \\\\\n\t', CAST(n_chars AS STRING))")
+
+
+@query("read_properties_records", r"""
+SELECT source AS app_id, CASE WHEN doc_id % 7 <> 0 THEN concat('doc key:', CAST(doc_id AS VARCHAR)) END AS key,
+ CASE WHEN doc_id % 7 <> 0 THEN concat(lang, 'bx, ', chr(233), source, ' ', CAST(n_chars AS VARCHAR)) END AS value, doc_id % 7 = 0 AS failed FROM documents""")
+def read_properties_records(spark, d):
+    """Records over several lines, between comments that seem to go on and do not."""
+    path = scratch_dir(spark, "properties-records")
+    docs = A.table(spark, d, "documents")
+    note = F.concat(F.lit("# note on "), F.col("doc_id").cast("string"), F.lit(" \\"))
+    text = F.concat_ws("\n", note, F.expr(_RECORD), F.lit(""))
+    docs.select(F.col("source").alias("app_id"), text.alias("value")).write.partitionBy("app_id").text(path)
+    return CF.read_properties(spark, path).select("app_id", "key", "value", F.col("error").isNotNull().alias("failed"))
 
 
 @query("read_properties", """

@@ -27,6 +27,15 @@ BUNDLE_BUDGET = 1_572_864
 REGISTERED_RATIO = 0.8
 UNKNOWN_EXIT_CODE = -1
 
+# --- fixed values: names of settings, and the texts that carry them ---------------
+MISSING_DELTA_KEY = "spark.kubernetes.executor.missingPodDetectDelta"
+MISSING_TEXT = (
+    "The executor with ID %d (registered at %d ms) was not found in the cluster at the "
+    "polling time (%d ms) which is after the accepted detect delta time (%d ms) configured "
+    "by `" + MISSING_DELTA_KEY + "`. The executor may have been deleted but the driver "
+    "missed the deletion event. Marking this executor as failed."
+)
+
 # --- fixed values: states; the position is the state's integer code --------------
 STATES = ["pending", "running", "succeeded", "failed", "terminating", "deleted", "unknown"]
 FINAL_STATES = ["succeeded", "failed", "deleted", "terminating"]
@@ -50,8 +59,10 @@ CONDITION = T.StructType([
 ])
 
 # One row per observed document. `seq` is the arrival number; `sync_ts` is null for
-# a change event and the listing time for a row of a full listing. Ids, role and the
-# inactive mark are top-level columns because file formats cannot prune inside a map.
+# a change event and the listing time for a row of a full listing; `listing_rows` is
+# the number of members of a listing and stands on its marker row only. Ids, role,
+# job and the inactive mark are top-level columns because file formats cannot prune
+# or filter inside a map.
 POD = T.StructType([
     T.StructField("app_id", T.StringType()),
     T.StructField("exec_id", T.LongType()),
@@ -76,6 +87,10 @@ POD = T.StructType([
     T.StructField("start_time", T.StringType()),
     T.StructField("containers", T.ArrayType(CONTAINER)),
     T.StructField("conditions", T.ArrayType(CONDITION)),
+    T.StructField("role", T.StringType()),
+    T.StructField("inactive", T.BooleanType()),
+    T.StructField("job_name", T.StringType()),
+    T.StructField("listing_rows", T.LongType()),
 ])
 
 TARGETS = "app_id string, profile_id int, target int"

@@ -16,8 +16,14 @@ from fleetfold import schema as S
 from fleetfold.functions import pods as P
 from fleetfold.operators.keyed import salted_lookup
 from fleetfold.operators.lifecycle import terminal_rows
+from fleetfold.sources.log import COMPACT_EVERY, TableLog
 
 FLAT = ["profile_id", "seq", "code", "start_ms", "sync_seq", "sync_ts"]
+FOLDED = (
+    "app_id string, exec_id bigint, profile_id int, seq bigint, code int, start_ms bigint, "
+    "sync_seq bigint, sync_ts bigint"
+)
+ENDS = "app_id string, seq bigint, phase string, action string, ts_ms bigint"
 
 
 def flatten(documents: DataFrame, check_all: bool = False, main_name: str = S.EXECUTOR_CONTAINER) -> DataFrame:
@@ -59,30 +65,36 @@ def present(folded: DataFrame) -> DataFrame:
     )
 
 
-def start_fold(
-    documents: DataFrame, path: str, checkpoint: str, **trigger
-) -> StreamingQuery:
-    """Append the members that changed in each micro-batch to ``path``.
+def fold_log(spark: SparkSession, path: str, every: int = COMPACT_EVERY) -> TableLog:
+    return TableLog(spark, path, FOLDED, S.MEMBER, every)
 
-    A batch owns its folder and overwrites it when it is retried.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+def _start_log(updates: DataFrame, log: TableLog, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Log the rows that a streaming aggregation updates; each is the whole state of its key."""
     return (
-        fold_flat(flatten(documents))
-        .writeStream.outputMode("update")
+        updates.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(write)
+        .foreachBatch(log.append)
         .start()
     )
 
 
+def start_fold(
+    documents: DataFrame, path: str, checkpoint: str, every: int = COMPACT_EVERY, **trigger
+) -> StreamingQuery:
+    """Log the members that changed in each micro-batch below ``path``.
+
+    The state is kept in the state store, so a batch writes what it changed. A batch
+    owns its folder and overwrites it when it is retried; every ``every`` batches the
+    log is compacted.
+    """
+    return _start_log(fold_flat(flatten(documents)), fold_log(documents.sparkSession, path, every), checkpoint, trigger)
+
+
 def read_fold(spark: SparkSession, path: str) -> DataFrame:
-    """Current state from the written updates."""
-    return present(fold_flat(spark.read.parquet(path).drop("batch")))
+    """Current state from the log."""
+    return present(fold_log(spark, path).read())
 
 
 def relist(listing: DataFrame, seq: int, sync_ts: int, apps: DataFrame | None = None) -> DataFrame:
@@ -90,44 +102,40 @@ def relist(listing: DataFrame, seq: int, sync_ts: int, apps: DataFrame | None =
 
     The documents and one marker row per app replace whatever was missed when they
     are folded in; the interrupted query itself resumes from its checkpoint. ``apps``
-    names the apps that were listed, also those whose listing came back empty.
+    names the apps that were listed, also those whose listing came back empty. The
+    marker tells how many members were listed (``listing_rows``), so a reader of parts
+    knows when it has all of them.
     """
     stamped = listing.withColumn("seq", F.lit(seq).cast("bigint")).withColumn(
         "sync_ts", F.lit(sync_ts).cast("bigint")
     )
-    # the marker only needs the app, the listing time and the arrival number
+    # the marker only needs the app, the listing time, the arrival number and the count
     empty = {f.name: F.lit(None).cast(f.dataType) for f in listing.schema.fields}
-    listed = stamped.select("app_id") if apps is None else apps.select("app_id")
-    markers = listed.distinct().withColumns({
+    counted = listing.groupBy("app_id").agg(F.count_distinct("exec_id").alias("listing_rows"))
+    if apps is not None:
+        counted = apps.select("app_id").distinct().join(counted, "app_id", "left").fillna(0, ["listing_rows"])
+    markers = counted.withColumns({
         "seq": F.lit(seq).cast("bigint"), "sync_ts": F.lit(sync_ts).cast("bigint"),
     }).select(
-        *[F.col(n) if n in ("app_id", "seq", "sync_ts") else e.alias(n) for n, e in empty.items()]
+        *[F.col(n) if n in ("app_id", "seq", "sync_ts", "listing_rows") else e.alias(n) for n, e in empty.items()]
     )
     return stamped.unionByName(markers)
 
 
+def ends_log(spark: SparkSession, path: str, every: int = COMPACT_EVERY) -> TableLog:
+    return TableLog(spark, path, ENDS, ["app_id"], every)
+
+
 def start_first_terminal(
-    watched: DataFrame, path: str, checkpoint: str, kind: str = "app", **trigger
+    watched: DataFrame, path: str, checkpoint: str, kind: str = "app", every: int = COMPACT_EVERY, **trigger
 ) -> StreamingQuery:
     """Keep the first event that ends each app, as a streaming aggregation."""
     ends = terminal_rows(watched, kind).groupBy("app_id").agg(
         F.min("seq").alias("seq"), F.min_by("phase", "seq").alias("phase"),
         F.min_by("action", "seq").alias("action"), F.min_by("ts_ms", "seq").alias("ts_ms"),
     )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        ends.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(write)
-        .start()
-    )
+    return _start_log(ends, ends_log(watched.sparkSession, path, every), checkpoint, trigger)
 
 
 def read_first_terminal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("app_id").agg(
-        F.min_by(F.struct("phase", "action", "ts_ms"), "seq").alias("e"), F.min("seq").alias("seq")
-    ).select("app_id", "seq", "e.*")
+    return ends_log(spark, path).read().select("app_id", "seq", "phase", "action", "ts_ms")

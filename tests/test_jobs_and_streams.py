@@ -6,6 +6,7 @@ from helpers import container, pod, pods, rows
 from pyspark.sql import functions as F
 
 from fleetfold import schema as S
+from fleetfold.operators import delivery as DL
 from fleetfold.operators import jobs as J
 from fleetfold.operators import keyed
 from fleetfold.operators import lifecycle as L
@@ -46,6 +47,19 @@ def test_group_values_keeps_every_value(spark):
     assert rows(seen, "k", "value") == sorted({(i % 3, i % 5000) for i in range(10_000)}, key=repr)
 
 
+def test_a_million_fractions_of_one_unit_give_bounded_arrays(spark):
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") / F.lit(1_000_000)).alias("v"))
+    got = J.group_values(df.unionByName(df.limit(10)), "k", "v", width=500)
+    sizes = got.agg(F.max(F.size("vals")), F.sum(F.size("vals")), F.count("*")).first()
+    assert sizes[0] <= 500 and sizes[1] == 1_000_000 and sizes[2] < 2_200
+    # parts are ordered like the values they hold
+    ends = got.select("part", F.get("vals", F.lit(0))["value"].alias("a")).orderBy("part").collect()
+    assert [r.a for r in ends] == sorted(r.a for r in ends)
+    words = spark.createDataFrame([("x", w) for w in ("b", "a", None, "b", "c")], "k string, v string")
+    found = J.group_values(words, "k", "v", width=2).select(F.explode("vals").alias("x")).select("x.value", "x.n")
+    assert rows(found, "value", "n") == sorted([("a", 1), ("b", 2), ("c", 1), (None, 1)], key=repr)
+
+
 def test_python_function_and_range_filter(spark):
     df = spark.createDataFrame([(0,), (19,), (12345,)], "n long")
     assert rows(J.py_udf(df, "n"), "n", "digits") == [(0, 0), (12345, 15), (19, 10)]
@@ -166,34 +180,15 @@ def test_first_terminal_stream(spark):
     assert rows(SF.read_first_terminal(spark, f"{out}/ends"), "app_id", "seq", "phase") == [("a", 1, "Failed")]
 
 
-def test_a_failed_batch_is_delivered_again(spark):
-    from pyspark.errors import StreamingQueryException
-
-    out = scratch_dir(spark, "del")
-    inbox = f"{out}/in"
-    for i in range(3):
-        put(spark, inbox, pod(i, seq=i))
-    seen = {"good": [], "bad": []}
-    broken = [True]
-
-    def good(batch, batch_id):
-        seen["good"] += [r.seq for r in batch.select("seq").collect()]
-
-    def bad(batch, batch_id):
-        if batch_id == 1 and broken[0]:
-            raise ValueError("no")
-        seen["bad"] += [r.seq for r in batch.select("seq").collect()]
-
-    consumers = {"good": (None, good), "bad": (None, bad)}
-    started = SR.batched_delivery(stream(spark, inbox), consumers, f"{out}/p")
-    started["good"].awaitTermination()
-    with pytest.raises(StreamingQueryException):
-        started["bad"].awaitTermination()
-    assert sorted(seen["good"]) == [0, 1, 2] and len(seen["bad"]) == 1
-    broken[0] = False
-    for q in SR.batched_delivery(stream(spark, inbox), consumers, f"{out}/p", initial=False).values():
-        q.awaitTermination()
-    assert sorted(seen["good"]) == [0, 1, 2] and sorted(seen["bad"]) == [0, 1, 2]
+def test_due_rounds_bring_failed_ones_again(spark):
+    events = spark.createDataFrame([("a", i, i * 10) for i in range(40)] + [("b", 100, 5)], "app_id string, seq bigint, ts_ms bigint")
+    consumers = spark.createDataFrame([("x", "a", 4, 100), ("y", "a", -1, 1000), ("z", "c", 0, 10)],
+                                      "consumer string, app_id string, delivered_seq bigint, interval_ms bigint")
+    plain = DL.due_rounds(events, consumers)
+    columns = ("consumer", "round", "n", "first_seq", "last_seq")
+    assert rows(plain, *columns) == [("x", 0, 5, 5, 9), ("x", 1, 10, 10, 19), ("x", 2, 10, 20, 29), ("x", 3, 10, 30, 39), ("y", 0, 40, 0, 39)]
+    failed = spark.createDataFrame([("x", 1), ("x", 2), ("y", 0), ("y", 0)], "consumer string, round bigint")
+    assert rows(DL.due_rounds(events, consumers, failed), *columns) == [("x", 0, 5, 5, 9), ("x", 3, 30, 10, 39), ("y", 1, 40, 0, 39)]
 
 
 def test_an_empty_round_decides_nothing(spark):

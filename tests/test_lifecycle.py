@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
 from helpers import container, pod, pods, rows
+from pyspark.sql import functions as F
 
 from fleetfold import schema as S
 from fleetfold.operators import lifecycle as L
@@ -71,14 +73,43 @@ def test_removals_match_a_plain_loop_over_long_dense_histories(spark):
     assert sorted(rows(first, *df.columns) + rows(second, *df.columns), key=repr) == got
 
 
-def test_groups_are_whole_across_batches():
-    frame = pd.DataFrame({"app_id": list("aaabbb"), "exec_id": [1] * 6, "chunk": [0, 0, 1, 1, 1, 1], "t": range(6)})
-    pieces = [frame.iloc[:2], frame.iloc[2:4], frame.iloc[4:4], frame.iloc[4:]]
-    out = list(L._whole_groups(iter(pieces)))
-    assert pd.concat(out)["t"].tolist() == list(range(6))
-    ends = [tuple(f[["app_id", "chunk"]].iloc[0]) for f in out]
-    assert len(ends) == len(set(ends)) and all(isinstance(x, pd.DataFrame) for x in out)
-    assert np.array_equal(L._starts(frame), [True, False, True, True, False, False])
+def test_a_hot_member_spans_pieces_and_three_exchanges_do(spark):
+    rng = random.Random(3)
+    ttl = 50
+    events, t = [], 0
+    for i in range(60_000):
+        t += rng.choice((0, 0, 1, 3, 40, 60)) if i % 9_000 < 8_000 else rng.choice((0, 1))
+        events.append(("hot", 1, t, i))
+    events += [("b", i % 40, i * 7 % 3000, 100_000 + i) for i in range(4000)]
+    df = spark.createDataFrame(pd.DataFrame(events, columns=["app_id", "exec_id", "ts_ms", "seq"]), EVENTS).repartition(9)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "150")  # more pieces than one group of them
+        out = L.removal_once(df, ttl)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        kinds = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "RoundRobin" not in line]
+        assert len([k for k in kinds if "rangepartitioning" in k]) >= 1
+        # the same exchange stands twice in the plan before it runs
+        assert len({re.sub(r"#\d+L?", "", k.split("Exchange", 1)[1].split(", [plan_id")[0]) for k in kinds}) <= 3
+        assert rows(out, "app_id", "exec_id", "ts_ms", "seq") == sorted(brute(events, ttl), key=repr)
+        held = df.repartitionByRange(150, "app_id", "exec_id", "ts_ms", "seq").groupBy(F.spark_partition_id()).count()
+        assert held.agg(F.max("count")).first()[0] < 5_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_maps_of_pieces_compose(spark):
+    rng = random.Random(8)
+    for _ in range(200):
+        ttl = rng.choice((1, 5, 20))
+        t = np.sort(np.array([rng.randrange(120) for _ in range(rng.randrange(3, 40))]))
+        cuts = sorted(rng.sample(range(1, len(t)), 2))
+        parts = [(*L._map_of(x, ttl), True, ("a", 1), ("a", 1)) for x in np.split(t, cuts)]
+        left = L._compose(L._compose(parts[0], parts[1]), parts[2])
+        right = L._compose(parts[0], L._compose(parts[1], parts[2]))
+        for free in [L._FREE, *range(int(t[0]), int(t[0]) + ttl + 1)]:
+            want = L._free_after(t, free, ttl)
+            assert L._apply(left[0], left[1], free) == L._apply(right[0], right[1], free) == want
 
 
 def test_missing_member_delta_is_strict(spark):
