@@ -147,22 +147,28 @@ def invalid_env(conf: DataFrame) -> DataFrame:
     return _env(conf).filter(~_is_env_key())
 
 
-def settings_by_app(conf: DataFrame, keys: list[str]) -> DataFrame:
+def settings_by_app(conf: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """One row per app with a map of the named settings only.
 
     Values are reduced to one per (app, key) first, so the map never has more
-    entries than ``keys``, however many rows an app has.
+    entries than ``keys``, however many rows an app has. With ``order`` the last of several
+    values of a key counts, as a later assignment does; without an order the largest does,
+    so that the result does not depend on chance.
     """
     wanted = F.when(F.col("key").isin(keys), F.col("key"))
-    single = conf.groupBy("app_id", wanted.alias("key")).agg(F.max("value").alias("value"))
+    value = F.max("value") if order is None else F.max_by("value", order)
+    single = conf.groupBy("app_id", wanted.alias("key")).agg(value.alias("value"))
     pairs = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))
     return single.groupBy("app_id").agg(F.map_from_entries(pairs).alias("conf"))
 
 
-def resolve_conf(conf: DataFrame, settings: list[tuple] | None = None) -> DataFrame:
-    """Effective value, origin and violation of every registry entry for every app."""
+def resolve_conf(conf: DataFrame, settings: list[tuple] | None = None, order: str | None = None) -> DataFrame:
+    """Effective value, origin and violation of every registry entry for every app.
+
+    ``order`` names the column by which the last of several values of a key is told.
+    """
     settings = settings or SETTINGS
-    apps = settings_by_app(conf, [s[0] for s in settings])
+    apps = settings_by_app(conf, [s[0] for s in settings], order)
     entry = F.explode(F.array(*[
         F.struct(*[F.lit(v).cast("string").alias(n) for n, v in
                    zip(["key", "type", "default", "fallback", "check"], s)])

@@ -101,6 +101,30 @@ def resolve_conf(spark, d):
     return C.resolve_conf(A.part_conf(spark, d))
 
 
+_BATCH = "queueing"
+_BATCH_ROWS = ("SELECT CASE o_orderkey % 4 WHEN 0 THEN '{b}.queue' WHEN 1 THEN '{b}.maxRetry' WHEN 2 THEN '{b}.enabled' ELSE '{b}.other' END AS key, "
+               "concat('c', CAST(o_custkey AS STRING)) AS app_id, CASE o_orderkey % 4 WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'many' ELSE "
+               "CAST(o_orderkey % 11 AS STRING) END WHEN 2 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'yes' ELSE 'TRUE' END ELSE o_orderstatus END AS value, "
+               "o_orderkey AS line FROM orders").format(b=f"spark.kubernetes.{_BATCH}")
+_BATCH_DEFAULTS = ", ".join(
+    f"('{k}', '{t}', '{v}')" for k, t, v, _, _ in C.batch_settings(_BATCH)
+)
+
+
+@query("resolve_conf_in_order", f"""
+WITH o AS ({_BATCH_ROWS}), reg AS (SELECT * FROM (VALUES {_BATCH_DEFAULTS}) AS v(key, type, dflt)),
+ last AS (SELECT app_id, key, arg_max(value, line) AS value FROM o GROUP BY app_id, key),
+ eff AS (SELECT a.app_id, reg.key, reg.type, coalesce(l.value, reg.dflt) AS value, CASE WHEN l.value IS NULL THEN 'default' ELSE 'set' END AS source
+   FROM (SELECT DISTINCT app_id FROM o) a CROSS JOIN reg LEFT JOIN last l ON l.app_id = a.app_id AND l.key = reg.key)
+SELECT *, CASE WHEN type = 'int' THEN TRY_CAST(value AS DOUBLE) END AS number, CASE WHEN type = 'int' AND TRY_CAST(value AS DOUBLE) IS NULL THEN 'unreadable'
+  WHEN type = 'boolean' AND lower(value) NOT IN ('true', 'false') THEN 'unreadable' END AS violation FROM eff""")
+def resolve_conf_in_order(spark, d):
+    """The entries of a batch scheduler; a customer's orders set a key again and again, and the last counts."""
+    select, _, _ = _BATCH_ROWS.removeprefix("SELECT ").rpartition(" FROM ")
+    rows = A.table(spark, d, "orders").select(F.expr(f"struct({select})").alias("r")).select("r.*")
+    return C.resolve_conf(rows, C.batch_settings(_BATCH), order="line")
+
+
 def _rule_sql(rule: str, first: str, second: str) -> str:
     a = f"EXISTS (SELECT 1 FROM part_conf c WHERE c.app_id = x.app_id AND c.key = '{first}')"
     b = f"EXISTS (SELECT 1 FROM part_conf c WHERE c.app_id = x.app_id AND c.key = '{second}')"
@@ -308,16 +332,35 @@ def pack_by_budget(spark, d):
     return K.pack_by_budget(A.conf_files(spark, d), BUDGET).select("app_id", "file_name")
 
 
-@query("write_conf_bundle", "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in PACK.items()) + """
+@query("write_conf_bundle", "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in PACK.items()) + f"""
 SELECT w.app_id, concat(w.app_id, '-conf-map') AS name, w.file_name, md5(d.text) AS content_md5
-FROM w JOIN documents d ON w.file_name = concat('file-', CAST(d.doc_id AS VARCHAR), '.conf') WHERE w.taken""")
+FROM w JOIN documents d ON w.file_name = concat('file-', CAST(d.doc_id AS VARCHAR), '.conf') WHERE w.taken
+UNION ALL SELECT source, concat(source, '-conf-map'), '{S.PROPERTIES_FILE}', md5(concat('{S.PROPERTIES_HEADER}', source, '-conf-map', chr(10),
+  string_agg(line, chr(10) ORDER BY line), chr(10))) FROM
+  (SELECT DISTINCT source, concat('lang.', lang, '=a\\:b \\#', CAST(doc_id % 7 AS VARCHAR)) AS line, row_number() OVER
+    (PARTITION BY source, lang ORDER BY doc_id % 7 DESC) AS rn FROM documents WHERE lang <> 'es') WHERE rn = 1 GROUP BY source""")
 def write_conf_bundle(spark, d):
-    bundle = K.write_conf_bundle(A.conf_files(spark, d), budget=BUDGET)
+    docs = A.table(spark, d, "documents").filter("lang <> 'es'")
+    properties = docs.select(
+        F.col("source").alias("app_id"), F.concat(F.lit("lang."), "lang").alias("key"),
+        F.concat(F.lit("a:b #"), (F.col("doc_id") % 7).cast("string")).alias("value"),
+    )
+    bundle = K.write_conf_bundle(A.conf_files(spark, d), budget=BUDGET, properties=properties)
     return bundle.select("app_id", "name", F.explode("data").alias("file_name", "content")).select(
         "app_id", "name", "file_name", F.md5("content").alias("content_md5")
     )
 
 
+@query("file_verdicts", "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in PACK.items()) + f"""
+SELECT d.source AS app_id, f.file_name, coalesce(w.taken, false) AS taken, CASE WHEN coalesce(w.taken, false) THEN NULL
+  WHEN length(f.file_name) + strlen(d.text) > {BUDGET} THEN 'size' ELSE 'budget' END AS reason
+FROM documents d JOIN (SELECT doc_id, concat('file-', CAST(doc_id AS VARCHAR), '.conf') AS file_name FROM documents) f USING (doc_id)
+LEFT JOIN w ON w.app_id = d.source AND w.file_name = f.file_name""")
+def file_verdicts(spark, d):
+    """Every file with whether the bundle takes it, and why not."""
+    return K.file_verdicts(A.conf_files(spark, d), BUDGET)
+
+
 @query("sorted_keys", "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in PACK.items()) + """
 SELECT app_id, string_agg(file_name, ',' ORDER BY file_name) AS keys FROM w WHERE taken GROUP BY app_id""")
 def sorted_keys(spark, d):

@@ -29,6 +29,8 @@ UNKNOWN_EXIT_CODE = -1
 
 # --- fixed values: names of settings, and the texts that carry them ---------------
 MISSING_DELTA_KEY = "spark.kubernetes.executor.missingPodDetectDelta"
+PROPERTIES_FILE = "spark.properties"
+PROPERTIES_HEADER = "#Java properties built from Kubernetes config map with name: "
 MISSING_TEXT = (
     "The executor with ID %d (registered at %d ms) was not found in the cluster at the "
     "polling time (%d ms) which is after the accepted detect delta time (%d ms) configured "
