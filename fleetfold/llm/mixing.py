@@ -54,20 +54,30 @@ def water_fill(children: DataFrame, parent: list[str], budget: Column) -> DataFr
 
     With children ordered by capacity per weight, the level that fits is the largest
     of (budget - capacities before) / (weights from here on). What a small child
-    cannot take goes to its siblings in proportion to their weights.
+    cannot take goes to its siblings in proportion to their weights. What rounding
+    down leaves is given out one by one, the largest weight first, so the whole
+    budget is spent while there is room. A child with the weight 0 takes nothing.
     """
-    order = [F.col("capacity") / F.col("weight"), *[F.col(c) for c in LEVELS if c in children.columns]]
+    names = [F.col(c) for c in LEVELS if c in children.columns]
+    weight = F.nullif("weight", F.lit(0))
+    order = [(F.col("weight") == 0).asc(), F.col("capacity") / weight, *names]
     before = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     onward = Window.partitionBy(*parent).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     family = Window.partitionBy(*parent)
-    level = (budget - F.coalesce(F.sum("capacity").over(before), F.lit(0))) / F.sum("weight").over(onward)
+    level = (budget - F.coalesce(F.sum("capacity").over(before), F.lit(0))) / F.nullif(F.sum("weight").over(onward), F.lit(0))
+    fair = F.least(F.col("capacity"), F.greatest(F.floor(F.col("weight") * F.coalesce("_level", F.lit(0.0))), F.lit(0)))
+    has_room = F.col("_floor") < F.col("capacity")
+    turn = Window.partitionBy(*parent).orderBy(has_room.desc(), F.desc("weight"), *names)
     return (
-        children.withColumn("_level", level)
+        children.withColumn("capacity", F.when(F.col("weight") == 0, 0).otherwise(F.col("capacity")).cast("bigint"))
+        .withColumn("_level", level)
         .withColumn("_level", F.max("_level").over(family))
         .withColumn("_all", F.sum("capacity").over(family))
-        .withColumn("share", F.when(budget >= F.col("_all"), F.col("capacity")).otherwise(
-            F.least(F.col("capacity"), F.greatest(F.floor(F.col("weight") * F.col("_level")), F.lit(0)))).cast("bigint"))
-        .drop("_level", "_all")
+        .withColumn("_floor", F.when(budget >= F.col("_all"), F.col("capacity")).otherwise(fair).cast("bigint"))
+        .withColumn("_spare", F.least(budget, F.col("_all")) - F.sum("_floor").over(family))
+        .withColumn("share", F.col("_floor") + F.when(has_room & (F.row_number().over(turn) <= F.col("_spare")), 1).otherwise(0))
+        .withColumn("share", F.col("share").cast("bigint"))
+        .drop("_level", "_all", "_floor", "_spare")
     )
 
 
@@ -78,7 +88,9 @@ def leaf_budgets(supply: DataFrame, mix: Mix) -> DataFrame:
     shortage is met by siblings first and reaches an ancestor only when they are
     exhausted.
     """
-    leaves = supply.withColumn("capacity", F.col("tokens") * mix.max_epochs)
+    # a name with the weight 0 is left out, so what lies below it is no capacity of its ancestors
+    left_out = _weight("language", mix.languages) * _weight("source", mix.sources) == 0
+    leaves = supply.withColumn("capacity", F.when(left_out, 0).otherwise(F.col("tokens") * mix.max_epochs).cast("bigint"))
     total = supply.agg((F.sum("tokens") * mix.budget_percent).alias("_all"))
     budgets = None
     for depth, weights in enumerate([mix.domains, mix.languages, mix.sources], start=1):
@@ -161,10 +173,11 @@ def mixed_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """The documents that the mix takes, all columns as they are, one row per epoch; the last of a leaf whole.
 
     Rows are judged by doc_id alone, null being an id like any other: rows that
-    repeat an id come with it.
+    repeat an id come with it. ``docs`` may have columns of any name.
     """
-    taken = mix_sources(docs, mix).select(F.col("doc_id").alias("_id"), F.col("epoch").alias("_epoch")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    taken = mix_sources(docs, mix).select(F.col("doc_id").alias("taken_id"), "epoch").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
+    return rows.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select("row.*")
 
 
 SQL = r"""
@@ -183,9 +196,12 @@ WITH d AS (
 ), l1 AS (
   SELECT *, (budget - coalesce(sum(capacity) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c1
+), f1 AS (
+  SELECT *, sum(capacity) OVER () AS every, CASE WHEN budget >= sum(capacity) OVER () THEN capacity
+    ELSE least(capacity, greatest(floor(weight * max(lv) OVER ()), 0)) END::BIGINT AS part FROM l1
 ), s1 AS (
-  SELECT domain, CASE WHEN budget >= sum(capacity) OVER () THEN capacity
-    ELSE least(capacity, greatest(floor(weight * max(lv) OVER ()), 0)) END::BIGINT AS budget FROM l1
+  SELECT domain, part + CASE WHEN part < capacity AND row_number() OVER (ORDER BY part < capacity DESC, weight DESC, domain)
+    <= least(budget, every) - sum(part) OVER () THEN 1 ELSE 0 END AS budget FROM f1
 ), c2 AS (
   SELECT s.domain, s.language, sum(tokens * 2)::BIGINT AS capacity,
     CASE s.language WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(s1.budget) AS budget
@@ -193,18 +209,26 @@ WITH d AS (
 ), l2 AS (
   SELECT *, (budget - coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / weight, domain, language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (PARTITION BY domain ORDER BY capacity / weight, domain, language ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c2
+), f2 AS (
+  SELECT *, sum(capacity) OVER (PARTITION BY domain) AS every, CASE WHEN budget >= sum(capacity) OVER (PARTITION BY domain) THEN capacity
+    ELSE least(capacity, greatest(floor(weight * max(lv) OVER (PARTITION BY domain)), 0)) END::BIGINT AS part FROM l2
 ), s2 AS (
-  SELECT domain, language, CASE WHEN budget >= sum(capacity) OVER (PARTITION BY domain) THEN capacity
-    ELSE least(capacity, greatest(floor(weight * max(lv) OVER (PARTITION BY domain)), 0)) END::BIGINT AS budget FROM l2
+  SELECT domain, language, part + CASE WHEN part < capacity AND row_number() OVER (PARTITION BY domain ORDER BY part < capacity DESC,
+    weight DESC, domain, language) <= least(budget, every) - sum(part) OVER (PARTITION BY domain) THEN 1 ELSE 0 END AS budget FROM f2
 ), c3 AS (
   SELECT s.domain, s.language, s.source, tokens, tokens * 2 AS capacity, 1 AS weight, s2.budget
   FROM supply s JOIN s2 ON s.domain = s2.domain AND s.language = s2.language
 ), l3 AS (
   SELECT *, (budget - coalesce(sum(capacity) OVER (PARTITION BY domain, language ORDER BY capacity / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (PARTITION BY domain, language ORDER BY capacity / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c3
+), f3 AS (
+  SELECT *, sum(capacity) OVER (PARTITION BY domain, language) AS every,
+    CASE WHEN budget >= sum(capacity) OVER (PARTITION BY domain, language) THEN capacity
+    ELSE least(capacity, greatest(floor(weight * max(lv) OVER (PARTITION BY domain, language)), 0)) END::BIGINT AS part FROM l3
 ), q AS (
-  SELECT domain, language, source, tokens, CASE WHEN budget >= sum(capacity) OVER (PARTITION BY domain, language) THEN capacity
-    ELSE least(capacity, greatest(floor(weight * max(lv) OVER (PARTITION BY domain, language)), 0)) END::BIGINT AS quota FROM l3
+  SELECT domain, language, source, tokens, (part + CASE WHEN part < capacity AND row_number() OVER (PARTITION BY domain, language
+    ORDER BY part < capacity DESC, weight DESC, source) <= least(budget, every) - sum(part) OVER (PARTITION BY domain, language)
+    THEN 1 ELSE 0 END)::BIGINT AS quota FROM f3
 ), e AS (
   SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 0 END AS nfull FROM q
 ), stream AS (

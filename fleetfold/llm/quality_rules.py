@@ -11,9 +11,8 @@ from fleetfold.sources.scratch import materialize
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A line is boilerplate where it stands in more than this many documents of its host
-#: and in more than this share of them (in percent).
-LINE_DOCS, LINE_PERCENT = 20, 10
+#: A line is boilerplate where it stands in more than this many different documents of its host.
+LINE_DOCS = 20
 #: A document is depleted when fewer than this share (in percent) of its words is left.
 LEFT_PERCENT = 25
 
@@ -100,15 +99,13 @@ def _text_key() -> Column:
     return F.struct(F.xxhash64(whole_text()).alias("a"), F.xxhash64(F.lit(1), whole_text()).alias("b"))
 
 
-def removed_words(
-    docs: DataFrame, host: str, line_docs: int, line_percent: int
-) -> DataFrame:
+def removed_words(docs: DataFrame, line_docs: int) -> DataFrame:
     """Boilerplate lines per host and different text: _host, _text, removed (words) and common (line hashes).
 
     Copies of a text count once for its host, so a text does not become boilerplate
     by being copied. Texts without such a line have no row.
     """
-    texts = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), whole_text().alias("text"))
+    texts = docs.select("_host", whole_text().alias("text"))
     per_line = texts.select(
         "_host", _text_key().alias("_text"), F.explode(lines(F.col("text"))).alias("line")
     ).select("_host", "_text", F.xxhash64(normal_line(F.col("line"))).alias("line"), word_count(F.col("line")).alias("words"))
@@ -119,13 +116,8 @@ def removed_words(
         ), "lines",
     )
     copies = texts.groupBy("_host", _text_key().alias("_text")).agg(F.count("*").alias("copies"))
-    hosts = copies.groupBy("_host").agg(F.count("*").alias("host_docs"))
     common = materialize(
-        stood.groupBy("_host", "line").agg(F.count("*").alias("n"))
-        .filter(F.col("n") > line_docs)
-        .join(hosts, "_host")
-        .filter(F.col("n") * 100 > F.col("host_docs") * line_percent)
-        .select("_host", "line"),
+        stood.groupBy("_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs).select("_host", "line"),
         "common-lines",
     )
     # collected per text, so never more than its own lines
@@ -143,14 +135,19 @@ def removed_words(
 MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", "kept", "common"]
 
 
-def _judged(docs: DataFrame, host: str, line_docs: int, line_percent: int, left_percent: int) -> DataFrame:
-    docs = docs.select(*[c for c in docs.columns if c not in MADE])
-    removed = removed_words(docs, host, line_docs, line_percent)
-    rows = statistics(docs).withColumns({
-        "_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_text": _text_key(),
-    })
+def _judged(docs: DataFrame, host: str, line_docs: int, left_percent: int) -> DataFrame:
+    """row (all columns of ``docs``), text and the columns of ``MADE``.
+
+    The caller's columns travel in one struct, so their names cannot clash with ours.
+    """
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"),
+        F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("_host"),
+    )
+    removed = removed_words(rows, line_docs)
     return (
-        rows.join(removed, ["_host", "_text"], "left")
+        statistics(rows).withColumn("_text", _text_key())
+        .join(removed, ["_host", "_text"], "left")
         .withColumn("left_words", F.col("n_words") - F.coalesce("removed", F.lit(0)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("left_words") * 100 >= F.col("n_words") * left_percent))
         .drop("_host", "_text", "removed")
@@ -158,40 +155,35 @@ def _judged(docs: DataFrame, host: str, line_docs: int, line_percent: int, left_
 
 
 def quality_rules(
-    docs: DataFrame,
-    host: str = "source",
-    line_docs: int = LINE_DOCS,
-    line_percent: int = LINE_PERCENT,
-    left_percent: int = LEFT_PERCENT,
+    docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT
 ) -> DataFrame:
     """``docs`` (all columns) with the statistics, ``left_words`` and ``kept``.
 
-    ``left_words`` are the words outside boilerplate lines; a document with fewer than
-    ``left_percent`` of its words left is depleted and not kept, as is one that fails
-    the base rules. Null text counts as empty and fails the base rules; a null host is
+    ``left_words`` are the words outside boilerplate lines: those that stand in more than
+    ``line_docs`` different documents of the host, whatever its size. A document with
+    fewer than ``left_percent`` of its words left is depleted and not kept, as is one that
+    fails the base rules. Null text counts as empty and fails the base rules; a null host is
     one host. Every row gives one row, repeated ones too; copies of a text count once
     in the line counts. The columns n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, left_words and kept replace any of that name.
+    n_repeat_words, base_failed, left_words, kept and common replace any of that name; the last
+    is not returned. Columns of ``docs`` may have any other name.
     """
-    return _judged(docs, host, line_docs, line_percent, left_percent).drop("common")
+    judged = _judged(docs, host, line_docs, left_percent)
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in MADE]
+    return judged.select(*own, *[c for c in MADE if c != "common"])
 
 
 def clean_documents(
-    docs: DataFrame,
-    host: str = "source",
-    line_docs: int = LINE_DOCS,
-    line_percent: int = LINE_PERCENT,
-    left_percent: int = LEFT_PERCENT,
+    docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT
 ) -> DataFrame:
     """The kept documents with the columns of ``docs``, their text without boilerplate lines."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in MADE}
-    judged = _judged(docs.withColumnsRenamed(own), own.get(host, host), line_docs, line_percent, left_percent)
+    judged = _judged(docs, host, line_docs, left_percent).select("row", "text", "kept", "common")
     # a filter on the verdict must not travel below the statistics, which would be computed again for it
-    judged = judged.select(F.inline_outer(F.array(F.struct("*")))).filter("kept")
+    kept = judged.select(F.inline_outer(F.array(F.struct("*")))).filter("kept")
     left = let(F.col("common"), lambda common: F.array_join(F.filter(
         F.split(whole_text(), "\n"), lambda line: ~F.array_contains(common, F.xxhash64(normal_line(line)))), "\n"))
     text = F.when(F.col("common").isNull(), F.col("text")).otherwise(left)
-    return judged.withColumn("text", text).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    return kept.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = r"""
@@ -213,11 +205,8 @@ WITH t AS (
       '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
     len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words
   FROM (SELECT host, text, unnest(ls) AS l FROM (SELECT DISTINCT host, text, ls FROM w))
-), hosts AS (
-  SELECT host, count(DISTINCT text) AS n FROM t GROUP BY 1
 ), common AS (
-  SELECT l.host, l.line FROM line l JOIN hosts h ON l.host = h.host GROUP BY l.host, l.line, h.n
-  HAVING count(DISTINCT l.text) > 20 AND count(DISTINCT l.text) * 100 > h.n * 10
+  SELECT host, line FROM line GROUP BY host, line HAVING count(DISTINCT text) > 20
 ), removed AS (
   SELECT l.host, l.text, sum(l.words) AS n FROM line l JOIN common c ON l.host = c.host AND l.line = c.line GROUP BY 1, 2
 ), s AS (
