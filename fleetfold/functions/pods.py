@@ -151,7 +151,7 @@ def status_report() -> Column:
     )
 
 
-def exit_message(state: Column) -> Column:
+def exit_message(state: Column, code: Column) -> Column:
     """Why a member left, as one text."""
     deleted = F.concat(
         F.lit("The executor with id "), F.col("exec_id").cast("string"),
@@ -159,7 +159,7 @@ def exit_message(state: Column) -> Column:
     )
     exited = F.concat(
         F.lit("\nThe executor with id "), F.col("exec_id").cast("string"),
-        F.lit(" exited with exit code "), exit_code().cast("string"),
+        F.lit(" exited with exit code "), code.cast("string"),
         F.lit(".\nThe API gave the following brief reason: "),
         F.coalesce("reason", F.lit("N/A")),
         F.lit("\nThe API gave the following message: "),

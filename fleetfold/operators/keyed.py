@@ -19,6 +19,16 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(size)) <= limit
 
 
+def with_settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with one more column that is computed once for a row, however often it is used.
+
+    Expressions and filters above are not merged with it, so the code generated for
+    them stays small; columns that nobody uses are still not read.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
 def salted_lookup(
     left: DataFrame,
     right: DataFrame,

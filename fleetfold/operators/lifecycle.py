@@ -11,18 +11,17 @@ from pyspark.sql import functions as F
 
 from fleetfold import schema as S
 from fleetfold.functions import pods as P
-from fleetfold.operators.keyed import salted_lookup
+from fleetfold.operators.keyed import salted_lookup, with_settled
 from fleetfold.operators.state import classify_state
 
 
 def exit_record(classified: DataFrame) -> DataFrame:
     """Exit code, blame and message of documents that carry a ``state``."""
     state = F.col("state")
-    return classified.select(
+    return with_settled(classified, "exit_code", P.exit_code()).select(
         "*",
-        P.exit_code().alias("exit_code"),
         (state != "deleted").alias("by_app"),
-        P.exit_message(state).alias("exit_message"),
+        P.exit_message(state, F.col("exit_code")).alias("exit_message"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from fleetfold import schema as S
 from fleetfold.functions import pods as P
-from fleetfold.operators.keyed import salted_lookup
+from fleetfold.operators.keyed import salted_lookup, with_settled
 
 _FIXED_WIDTH = (
     T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -30,7 +30,7 @@ def classify_state(
 ) -> DataFrame:
     """Add ``state`` and ``is_final`` to every document."""
     state = P.state_name(P.state_code(check_all, main_name))
-    return pods.withColumn("state", state).withColumn("is_final", P.is_final(F.col("state")))
+    return with_settled(pods, "state", state).withColumn("is_final", P.is_final(F.col("state")))
 
 
 def latest_state(
