@@ -270,25 +270,76 @@ def test_loser_tree_merges_with_prefixes():
         assert n == suffix_dedup.common_prefix(a, b, 0)
 
 
-def test_nearest_examples_are_exact():
+def ragged(rows):
+    ends = np.concatenate([[0], np.cumsum([len(t) for _, _, t, _ in rows])])
+    flat = [np.array([x for r in rows for x in r[i]], np.int64) for i in (2, 3)]
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), ends, *flat
+
+
+@pytest.mark.parametrize("common, vocabulary", [(512, 30), (10, 30), (10, 3000)])
+def test_nearest_examples_are_exact(monkeypatch, common, vocabulary):
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(4)
     rows = []
-    for i in range(400):
-        terms = sorted(rng.choice(30, rng.integers(0, 6), replace=False).tolist())
+    for i in range(700):
+        terms = np.unique(rng.zipf(1.3, rng.integers(0, 40)) % vocabulary).tolist()
         rows.append((i, int(rng.integers(0, 2)), terms, rng.integers(1, 4, len(terms)).tolist()))
-    idf = rng.uniform(1, 3, 30)
-    index = toxicity.build_index(rows, idf, {0: 900, 1: 100})
-    dense = np.zeros((len(index.labels), 30))
-    for t in range(30):
-        own = slice(index.offsets[t, 0], index.offsets[t, -1])
-        dense[index.examples[own], t] = index.weights[own]
-    for _, _, terms, counts in rows[:60]:
-        if terms:
-            query = index.query(terms, counts)
-            number, cosine = index.nearest(terms, query, 15)
-            brute = np.sort(dense[:, terms] @ query)[::-1]
-            brute = brute[brute > 0][:15]
-            assert np.allclose(cosine, brute)
+    idf = rng.uniform(1, 3, vocabulary)
+    doc_ids, labels, ends, terms, counts = ragged(rows)
+    index = toxicity.build_index(doc_ids, labels, ends, terms, counts, idf, {0: 900, 1: 100})
+    dense = np.zeros((len(rows), vocabulary))
+    for i, _, t, c in rows:
+        if t:
+            w = (1 + np.log(c)) * idf[t]
+            dense[i, t] = w / np.sqrt((w ** 2).sum())
+    for without in (False, True):
+        number = {d: n for n, d in enumerate(index.doc_ids.tolist())}
+        left_out = np.array([number.get(r[0], 0) for r in rows]) if without else None
+        found = list(toxicity.together(index, ends, terms, counts, 15, left_out))
+        assert len(found) == len(rows)
+        for (i, _, t, _), (near, cosine) in zip(rows, found):
+            truth = dense @ dense[i]
+            if without:
+                truth[i] = 0
+            brute = np.sort(truth)[::-1]
+            brute = brute[brute > 1e-7][:15]
+            assert np.allclose(cosine, brute, atol=2e-6)
+            assert np.allclose(truth[index.doc_ids[near]], cosine, atol=2e-6)
+            if len(near):
+                w = index.class_weight[index.labels[near]] / (1.05 - np.minimum(cosine, 1))
+                assert np.isclose(index.vote(near, cosine), (w * index.labels[near]).sum() / w.sum())
+
+
+def test_scores_match_a_plain_search(spark):
+    """Scores of a small corpus against dictionaries and loops."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("red green blue grey pink cyan lime teal".split()) if rng.random() < 0.3 else f"w{rng.randrange(90)}"
+                         for _ in range(rng.randrange(0, 30))), "en", "s", 1, "x") for i in range(260)]
+    labels = {i: int("red" in t.split() or "w7" in t.split()) for i, t, *_ in rows if i % 3}
+    frame = spark.createDataFrame([(i, y) for i, y in labels.items()], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs(spark, rows), frame).collect()}
+    learn = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
+    words = {i: collections.Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t, *_ in rows}
+    known = set().union(*(words[i] for i in learn))
+    words = {i: {w: c for w, c in held.items() if w in known} for i, held in words.items()}
+    df = collections.Counter(w for held in words.values() for w in held)
+    idf = {w: np.log((1 + len(rows)) / (1 + c)) + 1 for w, c in df.items()}
+
+    def vector(i):
+        v = {w: (1 + np.log(c)) * idf[w] for w, c in words[i].items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(i) for i in words if words[i]}
+    for i, t, *_ in rows:
+        if i not in vectors:
+            assert got[i].nearest_ids == []
+            continue
+        cosines = sorted((round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 5) for j in learn if j in vectors), reverse=True)
+        assert np.allclose(got[i].nearest_cosines, [c for c in cosines if c > 0][:3], atol=2e-5)
+    ones = [r.score for r in got.values() if labels.get(r.doc_id) == 1]
+    rest = [r.score for r in got.values() if labels.get(r.doc_id) == 0]
+    assert np.mean(ones) > np.mean(rest)
 
 
 @pytest.mark.parametrize("operator, label", [(toxicity.toxicity, "toxic"), (quality_classifier.quality, "quality")])
