@@ -66,21 +66,13 @@ class _Block:
         counts = np.bincount(tokens, minlength=len(self.ids))[1:]
         return {
             "block": number, "lang": lang, "n": int(counts.sum()), "words": list(self.ids)[1:],
-            "counts": counts, "tokens": _narrow(tokens, len(self.ids)).tobytes(),
+            "counts": counts, "length": len(tokens), "tokens": _pack(tokens),
         }
 
 
-def _narrow(numbers: np.ndarray, size: int) -> np.ndarray:
-    return numbers.astype("<u2" if size <= 1 << 16 else "<u4")
-
-
-def _wide(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if size <= 1 << 16 else "<u4")
-
-
 _BLOCKS = pa.schema([
     ("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.binary())),
-    ("counts", pa.list_(pa.int64())), ("tokens", pa.binary()),
+    ("counts", pa.list_(pa.int64())), ("length", pa.int64()), ("tokens", pa.binary()),
 ])
 
 
@@ -110,7 +102,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     return rows.mapInArrow(
-        run, "block bigint, lang string, n bigint, words array<binary>, counts array<bigint>, tokens binary"
+        run, "block bigint, lang string, n bigint, words array<binary>, counts array<bigint>, length bigint, tokens binary"
     )
 
 
@@ -223,14 +215,14 @@ def _items(node: Counter | list) -> tuple[np.ndarray, np.ndarray]:
 
 # --- coded blocks -----------------------------------------------------------------------
 
-_CODED = "block bigint, size bigint, words binary, grams binary, word_ids array<bigint>, gram_ids array<bigint>, gram_counts array<bigint>"
+_CODED = "block bigint, length bigint, n_words bigint, n_grams bigint, places binary, word_ids binary, gram_ids binary"
 
 
 class Coded:
     """A block as numbers of its frequent words and of the frequent phrases that start at each word.
 
     ``words`` and ``grams`` are 0 where there is none, else one more than the place in
-    ``word_ids`` (ordered) and ``gram_ids``.
+    ``word_ids`` and ``gram_ids`` (both ordered). While phrases are single words they are the same.
     """
 
     def __init__(self, block, words, grams, word_ids, gram_ids, gram_counts) -> None:
@@ -238,21 +230,22 @@ class Coded:
         self.word_ids, self.gram_ids, self.gram_counts = word_ids, gram_ids, gram_counts
 
     def batch(self) -> pa.RecordBatch:
-        size = max(len(self.word_ids), len(self.gram_ids)) + 1
+        places = [self.words] if self.grams is self.words else [self.words, self.grams]
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.block], pa.int64()), pa.array([size], pa.int64()),
-             *[pa.array([_narrow(x, size).tobytes()], pa.binary()) for x in (self.words, self.grams)],
-             *[pa.array([x], pa.list_(pa.int64())) for x in (self.word_ids, self.gram_ids, self.gram_counts)]],
-            ["block", "size", "words", "grams", "word_ids", "gram_ids", "gram_counts"],
+            [*[pa.array([x], pa.int64()) for x in (self.block, len(self.words), len(self.word_ids), len(self.gram_ids))],
+             *[pa.array([x], pa.binary()) for x in (_pack(*places), _pack(self.word_ids), _pack(self.gram_ids, self.gram_counts))]],
+            ["block", "length", "n_words", "n_grams", "places", "word_ids", "gram_ids"],
         )
 
     @classmethod
-    def rows(cls, batch: pa.RecordBatch) -> Iterator[tuple[int, Coded]]:
+    def rows(cls, batch: pa.RecordBatch, single: bool) -> Iterator[tuple[int, Coded]]:
+        """The blocks of a batch; ``single``: phrases are single words."""
         for i in range(batch.num_rows):
-            size = batch.column("size")[i].as_py()
-            words, grams = (_wide(batch.column(c)[i].as_py(), size).astype(np.int64) for c in ("words", "grams"))
-            lists = (batch.column(c)[i].values.to_numpy() for c in ("word_ids", "gram_ids", "gram_counts"))
-            yield i, cls(batch.column("block")[i].as_py(), words, grams, *lists)
+            block, length, n_words, n_grams, places, word_ids, gram_ids = (
+                batch.column(c)[i].as_py() for c in ("block", "length", "n_words", "n_grams", "places", "word_ids", "gram_ids")
+            )
+            placed = _unpack(places, 1 if single else 2, length)
+            yield i, cls(block, placed[0], placed[-1], _unpack(word_ids, 1, n_words)[0], *_unpack(gram_ids, 2, n_grams))
 
     def keys(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Places where a phrase of ``width`` words may be frequent, and its key in the block."""
@@ -275,16 +268,16 @@ def _first_codes(blocks: DataFrame, known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                size = batch.column("size")[i].as_py() + 1
+                size, length, tokens = (batch.column(c)[i].as_py() for c in ("size", "length", "tokens"))
                 held = batch.column("held")[i].values
                 place, ids, counts = (held.field(c).to_numpy() for c in ("place", "id", "f"))
                 order = np.argsort(ids)
-                code = np.zeros(size, np.int64)
+                code = np.zeros(size + 1, np.int64)
                 code[place[order] + 1] = np.arange(1, len(ids) + 1)
-                words = code[_wide(batch.column("tokens")[i].as_py(), size)]
+                words = code[_unpack(tokens, 1, length)[0]]
                 yield Coded(batch.column("block")[i].as_py(), words, words, ids[order], ids[order], counts[order]).batch()
 
-    rows = blocks.select("block", F.size("words").cast("bigint").alias("size"), "tokens").join(known, "block")
+    rows = blocks.select("block", F.size("words").cast("bigint").alias("size"), "length", "tokens").join(known, "block")
     return rows.mapInArrow(run, _CODED)
 
 
@@ -293,7 +286,7 @@ def _runs(coded: DataFrame, width: int, partitions: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, block in Coded.rows(batch):
+            for _, block in Coded.rows(batch, width == 2):
                 at, keys = block.keys(width)
 
                 def partition_of(k: np.ndarray) -> np.ndarray:
@@ -328,7 +321,7 @@ def _run_rows(block: Coded, partition_of, keys: np.ndarray, counts: np.ndarray)
     )
 
 
-_GRAMS = "block bigint, prefix array<bigint>, word array<bigint>, id array<bigint>, f array<bigint>"
+_GRAMS = "block bigint, prefix array<bigint>, word array<bigint>, id array<bigint>, f array<bigint>, size bigint, run binary"
 
 
 def _merged(runs: DataFrame, least: int) -> DataFrame:
@@ -355,9 +348,11 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
             if y > x:
                 mine = hit[x:y]
                 out.append((block, table[0][mine], table[1][mine], ids[which[mine]], total[which[mine]]))
+        whole = [[out[0][i], *[None] * (len(out) - 1)] for i in range(1, 5)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[i] for r in out], pa.list_(pa.int64())) for i in range(1, 5)]],
-            ["block", "prefix", "word", "id", "f"],
+            [pa.array([r[0] for r in out], pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in whole],
+             pa.array([len(r[1]) for r in out], pa.int64()), pa.array([None, *[_pack(*r[1:]) for r in out[1:]]], pa.binary())],
+            ["block", "prefix", "word", "id", "f", "size", "run"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,13 +374,12 @@ def _next_codes(coded: DataFrame, back: DataFrame, width: int) -> DataFrame:
     """Blocks with their frequent phrases of ``width`` words, cut down to what may hold longer ones."""
 
     def recode(block: Coded, held: pa.StructArray) -> Coded | None:
-        prefix, word, ids, counts = (
-            np.concatenate([x.values.to_numpy() for x in held.field(c)]) for c in ("prefix", "word", "id", "f")
+        prefix, word, ids, counts = np.concatenate(
+            [_unpack(run, 4, size) for size, run in zip(held.field("size").to_pylist(), held.field("run").to_pylist())], axis=1
         )
         ids, first = np.unique(ids, return_index=True)  # a phrase of several runs of the block
         prefix, word, counts = prefix[first], word[first], counts[first]
-        sorted_grams = np.argsort(block.gram_ids, kind="stable")
-        g = sorted_grams[np.searchsorted(block.gram_ids[sorted_grams], prefix)]
+        g = np.searchsorted(block.gram_ids, prefix)
         known = g * len(block.word_ids) + np.searchsorted(block.word_ids, word)
         order = np.argsort(known)
         at, keys = block.keys(width)
@@ -411,7 +405,7 @@ def _next_codes(coded: DataFrame, back: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, block in Coded.rows(batch):
+            for i, block in Coded.rows(batch, width == 2):
                 new = recode(block, batch.column("held")[i].values)
                 if new is not None:
                     yield new.batch()
@@ -452,7 +446,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
         parts.append(before)
         if width < longest:
             back = merged.filter("block >= 0").groupBy("block").agg(
-                F.collect_list(F.struct("prefix", "word", "id", "f")).alias("held")
+                F.collect_list(F.struct("size", "run")).alias("held")
             )
             coded = materialize(_next_codes(coded, back, width), "phrase-codes")
     counts = parts[0]
