@@ -134,7 +134,8 @@ def compile_patterns(patterns: list[tuple[str, bool]]) -> Automaton:
         rows.append(row)
     moves = np.array(rows)
     found = [tuple(sorted({ends[s] for s in subset if s in ends})) for subset in queue]
-    group = np.unique(np.array([hash(f) for f in found]), return_inverse=True)[1]
+    kinds: dict[tuple[int, ...], int] = {}
+    group = np.array([kinds.setdefault(f, len(kinds)) for f in found])
     while True:  # split groups until all states of one move alike
         again = np.unique(np.column_stack([group, group[moves]]), axis=0, return_inverse=True)[1].reshape(-1)
         if again.max() == group.max():
@@ -160,8 +161,38 @@ def compile_patterns(patterns: list[tuple[str, bool]]) -> Automaton:
     )
 
 
+#: Bytes from which the state is run ahead of a forced cut, bytes between such cuts, and states that may be left there.
+WARM, FORCED, LIVE = 192, 4096, 16
+
+
+def live_states(automaton: Automaton, buffer: np.ndarray, at: np.ndarray, warm: int = WARM) -> list[np.ndarray]:
+    """The states that may stand behind each of the bytes ``at``, whatever the state was ``warm`` bytes before.
+
+    All states run side by side over these bytes; in text they soon become a few.
+    """
+    moves, every = automaton.moves, np.arange(len(automaton.moves) // 256)
+    found: list[np.ndarray] = []
+    for a in range(0, len(at), 64):
+        own = at[a:a + 64]
+        first = own - warm + 1
+        # a column for each different past, a row for each cut
+        states = moves[(every[None, :] << 8) | buffer[first][:, None]].astype(np.int64)
+        for step in range(1, warm):
+            if step in (4, 16, 64):  # columns that are the same in every row stay so
+                states = np.unique(states, axis=1)
+            states = moves[(states << 8) | buffer[first + step][:, None]].astype(np.int64)
+        found.extend(np.unique(row) for row in states)
+    return found
+
+
 def scan(automaton: Automaton, buffer: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and states where a pattern ends, in no order. ``buffer`` (uint8) begins in the start state."""
+    """Positions and states where a pattern ends, in no order. ``buffer`` (uint8) begins in the start state.
+
+    The buffer is cut into lanes that step together. Cuts stand where the state is known
+    from the bytes before. A long stretch without such a place is cut anyway: its pieces are
+    run from every state that may stand there, and then the pieces are chained, each from
+    the state in which the one before it ended.
+    """
     n = len(buffer)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -173,25 +204,61 @@ def scan(automaton: Automaton, buffer: np.ndarray, lane: int = LANE) -> tuple[np
     sure = np.flatnonzero(state_at[:-1] >= 0)
     picked = np.searchsorted(sure, np.arange(lane, n, lane))
     cuts = np.unique(sure[picked[picked < len(sure)]])
-    starts = np.concatenate([[0], cuts + 1]).astype(np.int64)
-    states = np.concatenate([[automaton.start], state_at[cuts]]).astype(np.int64)
-    lengths = np.diff(np.append(starts, n))
+    begin = [(np.concatenate([[0], cuts + 1]).astype(np.int64), np.concatenate([[automaton.start], state_at[cuts]]).astype(np.int64))]
+    gaps = np.concatenate([[-1], cuts, [n - 1]])
+    wide = np.flatnonzero(np.diff(gaps) > 2 * FORCED)
+    open_starts: set[int] = set()
+    if len(wide):
+        forced = np.concatenate([np.arange(gaps[i] + FORCED, gaps[i + 1], FORCED) for i in wide])
+        for at, live in zip(forced.tolist(), live_states(automaton, buffer, forced)):
+            if len(live) <= LIVE:
+                begin.append((np.full(len(live), at + 1, np.int64), live))
+                if len(live) > 1:
+                    open_starts.add(at + 1)
+    starts, states = np.concatenate([b for b, _ in begin]), np.concatenate([s for _, s in begin])
+    border = np.append(np.unique(starts), n)
+    lengths = border[np.searchsorted(border, starts, side="right")] - starts
     order = np.argsort(-lengths, kind="stable")
     starts, states, lengths = starts[order], states[order], lengths[order]
-    moves, accepting = automaton.moves, automaton.accepting
+    began, moves, accepting = states.copy(), automaton.moves, automaton.accepting
     live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # lanes longer than each step
-    places, ended = [], []
+    places, ended, lanes = [], [], []
     for step in range(int(lengths[0])):
         k = int(live[step])
         at = starts[:k] + step
-        states = moves[(states[:k] << 8) | buffer[at]].astype(np.int64)
-        hits = np.flatnonzero(states >= accepting)
+        states[:k] = moves[(states[:k] << 8) | buffer[at]]
+        hits = np.flatnonzero(states[:k] >= accepting)
         if len(hits):
             places.append(at[hits])
             ended.append(states[hits])
+            lanes.append(hits)
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(places), np.concatenate(ended)
+    found, kinds, lane_of = np.concatenate(places), np.concatenate(ended), np.concatenate(lanes)
+    if open_starts:
+        taken = _chained(starts, lengths, began, states, open_starts)
+        found, kinds = found[taken[lane_of]], kinds[taken[lane_of]]
+    return found, kinds
+
+
+def _chained(
+    starts: np.ndarray, lengths: np.ndarray, began: np.ndarray, ended: np.ndarray, open_starts: set[int]
+) -> np.ndarray:
+    """Which lanes the automaton really takes: of those with one start that whose state the lane before it ended in."""
+    taken = np.ones(len(starts), bool)
+    of: dict[int, list[int]] = {}
+    before: dict[int, list[int]] = {}
+    for i in range(len(starts)):
+        start = int(starts[i])
+        if start in open_starts:
+            of.setdefault(start, []).append(i)
+        if start + int(lengths[i]) in open_starts:
+            before.setdefault(start + int(lengths[i]), []).append(i)
+    for start in sorted(open_starts):
+        last = next(i for i in before[start] if taken[i])
+        for i in of[start]:
+            taken[i] = began[i] == ended[last]
+    return taken
 
 
 def exact(pattern: str, fold: bool) -> re.Pattern[bytes]:
