@@ -31,19 +31,29 @@ PARTS = 4
 _PART = f"floor((day(ts) - 1) * {PARTS} / 31)"
 
 
-def in_parts(source: DataFrame, part: str, inbox: str, start: Callable[[DataFrame], StreamingQuery], parts: int = PARTS) -> None:
-    """Feed a table to a stream part by part; the stream ends and is started again for each."""
+def in_parts(
+    source: DataFrame, part: str, inbox: str, start: Callable[[DataFrame], StreamingQuery], parts: int = PARTS, restart: bool = True
+) -> None:
+    """Feed a table to a stream part by part, each a micro-batch of its own at least.
+
+    With ``restart`` the stream ends after each part and is started again for the next
+    one; else one run takes a file for each micro-batch.
+    """
     spark = source.sparkSession
     for i in range(parts):
-        source.filter(F.expr(f"{part} = {i}")).write.mode("append").parquet(inbox)
-        start(spark.readStream.schema(source.schema).parquet(inbox)).awaitTermination()
+        rows = source.filter(F.expr(f"{part} = {i}"))
+        (rows if restart else rows.coalesce(1)).write.mode("append").parquet(inbox)
+        if restart:
+            start(spark.readStream.schema(source.schema).parquet(inbox)).awaitTermination()
+    if not restart:
+        start(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(inbox)).awaitTermination()
 
 
 @query("fold_state_stream", _LAST_STATE)
 def fold_state_stream(spark, d):
     out = scratch_dir(spark, "fold")
     in_parts(A.table(spark, d, "events"), _PART, f"{out}/inbox", lambda rows: SF.start_fold(
-        A.pod_rows(rows), f"{out}/state", f"{out}/progress", every=3))
+        A.pod_rows(rows), f"{out}/state", f"{out}/progress", every=3), restart=False)
     return SF.read_fold(spark, f"{out}/state").select(*S.MEMBER, "profile_id", "state", "seq")
 
 
@@ -68,7 +78,7 @@ def resume_after_gap(spark, d):
 def removal_once_stream(spark, d):
     out = scratch_dir(spark, "removals")
     in_parts(A.table(spark, d, "events"), _PART, f"{out}/inbox", lambda rows: SR.start_removals(
-        L.lifecycle_events(A.pod_rows(rows)).select(*S.MEMBER, "ts_ms", "seq"), out, f"{out}/progress", REMOVAL_TTL, every=3))
+        L.lifecycle_events(A.pod_rows(rows)).select(*S.MEMBER, "ts_ms", "seq"), out, f"{out}/progress", REMOVAL_TTL, every=3), restart=False)
     return spark.read.parquet(f"{out}/kept").select(*S.MEMBER, "ts_ms", "seq")
 
 
@@ -76,7 +86,7 @@ def removal_once_stream(spark, d):
 def first_terminal_stream(spark, d):
     out = scratch_dir(spark, "terminal")
     in_parts(A.table(spark, d, "events"), _PART, f"{out}/inbox", lambda rows: SF.start_first_terminal(
-        A.watched_rows(A.event_rows(rows)), f"{out}/ends", f"{out}/progress", every=3))
+        A.watched_rows(A.event_rows(rows)), f"{out}/ends", f"{out}/progress", every=3), restart=False)
     return SF.read_first_terminal(spark, f"{out}/ends").select("app_id", "seq", "action", "phase")
 
 
