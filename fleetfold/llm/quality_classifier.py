@@ -148,8 +148,9 @@ def quality(
     """doc_id, held_out, score (label 1) and predicted of every row.
 
     Vectors come from at most ``per_class`` labelled rows per class outside the
-    held-out fold; feature frequencies count all documents. A text without words (null
-    too) has the score of such examples, or the share of label 1 if there are none.
+    held-out fold; feature frequencies count all documents. An empty text (null
+    too) has the score of such examples, or the share of label 1 if there are none; a text of
+    white space only has features of its own and is scored by them.
     Repeated rows give a row each; without labels every score is 0.5.
     """
     examples, sizes = sample(docs, labels, label, per_class)
