@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.operators.keyed import salted_lookup
-from fleetfold.sources.scratch import materialize
+from fleetfold.operators.keyed import fits_broadcast
+from fleetfold.sources.scratch import materialize, scratch_dir
 
 
 def group_values(df: DataFrame, key: str, value: str, width: int = 4096) -> DataFrame:
@@ -108,25 +110,56 @@ def range_filter_demo(people: DataFrame, low: int, high: int) -> DataFrame:
 RANK_UNIT = 1_000_000_000
 
 
+#: Rows and columns of the grid that the links are dealt to, by their source and their target.
+GRID = 16
+
+
+def _place(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(GRID)).cast("int")
+
+
+def _cell(row: Column, column: Column) -> Column:
+    return (row * GRID + column).alias("cell")
+
+
 def page_rank(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """Rank of every linked node, in billionths, from distinct ``(src, dst)`` edges.
 
     Ranks are whole numbers, so sums do not depend on the order of tasks and a
-    repeated task gives the same result. A node may own a third of the edges: its
-    rank is looked up with a salt, and contributions are summed before the shuffle.
+    repeated task gives the same result. The links are dealt once to a grid of cells
+    and stay there, as a bucketed table: a round sends a node's share to the cells of its
+    row and gets back one sum per cell of a column, so it moves nodes and not links. A
+    node may own a third of the edges: they lie in as many cells as the grid is wide.
     Each round's ranks are written out, which keeps the plan of the next one small.
     """
-    links = edges.select("src", "dst").distinct()
-    degree = links.groupBy("src").agg(F.count("*").alias("n"))
-    links = materialize(links, "links")
-    ranks = degree.select("src", "n", F.lit(RANK_UNIT).cast("bigint").alias("rank"))
-    for _ in range(iterations):
-        share = ranks.select("src", F.expr("rank div n").alias("share"))
-        given = salted_lookup(links, share, ["src"], "inner", salt_by=["dst"])
-        summed = given.groupBy("dst").agg(F.sum("share").alias("total"))
-        fresh = summed.select(
-            F.col("dst").alias("src"),
-            F.expr(f"{RANK_UNIT * 15 // 100} + total * 85 div 100").alias("rank"),
-        )
-        ranks = materialize(fresh.join(degree, "src", "left"), "ranks")
+    spark = edges.sparkSession
+    name, all_keys = f"links_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(all_keys)
+    dealt = edges.select(_cell(_place("src"), _place("dst")), "src", "dst")
+    dealt.repartition(GRID * GRID, "cell").distinct().write.bucketBy(GRID * GRID, "cell").saveAsTable(
+        name, format="parquet", path=scratch_dir(spark, "links")
+    )
+    try:
+        # the join is by cell and node, the buckets are by cell
+        spark.conf.set(all_keys, "false")
+        links = spark.table(name)
+        degree = materialize(links.groupBy("src").agg(F.count("*").alias("n")), "degree")
+        ranks = degree.select("src", "n", F.lit(RANK_UNIT).cast("bigint").alias("rank"))
+        for _ in range(iterations):
+            share = ranks.select("src", F.expr("rank div n").alias("share"))
+            if fits_broadcast(share):
+                given = links.join(share, "src")
+            else:
+                columns = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("column")
+                sent = share.select("*", columns).select(_cell(_place("src"), F.col("column")), "src", "share")
+                given = links.join(sent, ["cell", "src"])
+            summed = given.groupBy("dst").agg(F.sum("share").alias("total"))
+            fresh = summed.select(
+                F.col("dst").alias("src"),
+                F.expr(f"{RANK_UNIT * 15 // 100} + total * 85 div 100").alias("rank"),
+            )
+            ranks = materialize(fresh.join(degree, "src", "left"), "ranks")
+    finally:
+        spark.conf.set(all_keys, before)
+        spark.sql(f"DROP TABLE {name}")
     return ranks.select(F.col("src").alias("node"), "rank")
