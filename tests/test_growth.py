@@ -18,6 +18,7 @@ def conf_rows(spark):
 @pytest.mark.parametrize("query", [
     lambda conf: C.settings_by_app(conf, ["spark.driver.port"]),
     lambda conf: C.resolve_conf(conf),
+    lambda conf: C.check_options(conf, [("not_both", "spark.driver.port", "spark.app.name")]),
 ])
 def test_settings_are_dealt_out_before_they_are_sorted(spark, query):
     below = below_exchanges(query(conf_rows(spark)))
@@ -33,3 +34,11 @@ def test_settings_of_an_app_on_many_tasks(spark):
     got = {r.app_id: r.conf for r in C.settings_by_app(placed, ["spark.driver.port"], order="line").collect()}
     want = {f"a{a}": {"spark.driver.port": str(max(i for i in range(0, 90, 3) if i % 7 == a))} for a in range(7)}
     assert got == want | {None: {"spark.driver.port": "5"}}
+
+
+def test_options_of_apps_without_the_keys_are_not_shuffled(spark):
+    conf = spark.createDataFrame([("a", "k1", "1"), ("a", "x", "1"), ("b", "x", "1"), ("c", "k2", "1")], "app_id string, key string, value string")
+    found = C.check_options(conf.repartition(2), [("both_or_neither", "k1", "k2")])
+    assert sorted(r.app_id for r in found.collect()) == ["a", "c"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Filter key#" in plan.rpartition("Exchange hashpartitioning")[2]
