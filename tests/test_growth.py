@@ -19,6 +19,7 @@ def conf_rows(spark):
     lambda conf: C.settings_by_app(conf, ["spark.driver.port"]),
     lambda conf: C.resolve_conf(conf),
     lambda conf: C.check_options(conf, [("not_both", "spark.driver.port", "spark.app.name")]),
+    lambda conf: C.effective_settings(conf, conf),
 ])
 def test_settings_are_dealt_out_before_they_are_sorted(spark, query):
     below = below_exchanges(query(conf_rows(spark)))
