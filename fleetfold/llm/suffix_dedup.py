@@ -43,6 +43,8 @@ LEAST, K = 50, 20
 RUN_BYTES, RANGE_KEYS, HOT_RUNS = 4 << 20, 1 << 19, 64
 #: Bits of an anchor's hash that are compared in step 1; more bits only spare work.
 KEY_BITS = 44
+#: Windows that are hashed at once.
+BLOCK = 1 << 14
 #: Windows of one suffix; their answers fit a 32-bit mask.
 MOST_WINDOWS = 31
 
@@ -89,6 +91,14 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - span:width - span + n])
 
 
+def least_hashes(buffer: np.ndarray) -> np.ndarray:
+    """The least hashed K bytes of each window, block by block, so that a block stays in the cache."""
+    out = np.empty(len(buffer) - LEAST + 1, np.uint64)
+    for i in range(0, len(out), BLOCK):
+        out[i:i + BLOCK] = least_of(hashes(buffer[i:i + BLOCK + LEAST - 1], K), LEAST - K + 1)
+    return out
+
+
 def anchored(buffer: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with one anchor: hash, first window, windows, document.
 
@@ -97,22 +107,19 @@ def anchored(buffer: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     none = np.zeros(0, np.int64)
     if len(buffer) < LEAST:
         return np.zeros(0, np.uint64), none, none, none
-    least = least_of(hashes(buffer, K), LEAST - K + 1)
+    least = least_hashes(buffer)
     ends = np.cumsum(lengths)
-    valid = np.zeros(len(least) + LEAST, np.int8)
-    for_doc = np.flatnonzero(lengths >= LEAST)
-    np.add.at(valid, ends[for_doc] - lengths[for_doc], 1)
-    np.add.at(valid, ends[for_doc] - LEAST + 1, -1)
-    at = np.flatnonzero(np.cumsum(valid)[:len(least)] > 0)
-    if not len(at):
-        return np.zeros(0, np.uint64), none, none, none
-    opens = np.ones(len(at), bool)
-    opens[1:] = (least[at[1:]] != least[at[:-1]]) | (at[1:] != at[:-1] + 1)
-    opens[np.searchsorted(at, (ends - lengths)[for_doc])] = True
+    opens = np.zeros(len(least), bool)
+    opens[1:] = least[1:] != least[:-1]
+    opens[(ends - lengths)[lengths >= LEAST]] = True
     first = np.flatnonzero(opens)
-    size = np.diff(np.append(first, len(at)))
+    doc = np.searchsorted(ends, first, side="right")
+    # a stretch goes on to the next one or to the last window of its document
+    size = np.minimum(np.append(first[1:], len(least)), ends[doc] - LEAST + 1) - first
+    inside = size > 0
+    first, size, doc = first[inside], size[inside], doc[inside]
     parts = -(-size // MOST_WINDOWS)
-    start = np.repeat(at[first], parts)
+    start = np.repeat(first, parts)
     nth = np.arange(len(start)) - np.repeat(np.cumsum(parts) - parts, parts)
     start = start + nth * MOST_WINDOWS
     windows = np.minimum(np.repeat(size, parts) - nth * MOST_WINDOWS, MOST_WINDOWS)
@@ -121,7 +128,7 @@ def anchored(buffer: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0x94D049BB133111EB)
     mixed ^= mixed >> np.uint64(30)
-    return mixed, start, windows, np.searchsorted(ends, start, side="right")
+    return mixed, start, windows, np.repeat(doc, parts)
 
 
 class Run:
@@ -154,39 +161,48 @@ class Run:
         """
         suffixes: dict[bytes, int] = {}
         windows: dict[bytes, int] = {}
-        for j, hot in self._flagged(flags):
-            a, n, d = self.start[j], self.windows[j], self.rank_id[self.doc[j]]
+        text, most, suffix_of, window_of = self.text, _NO_ID + 1, suffixes.get, windows.get
+        for key, a, n, d, hot in self._flagged(flags):
             if hot:
                 for i in range(a, a + n):
-                    w = self.text[i:i + LEAST]
-                    if windows.get(w, _NO_ID + 1) > d:
-                        windows[w] = int(d)
+                    w = text[i:i + LEAST]
+                    if window_of(w, most) > d:
+                        windows[w] = d
             else:
-                s = int(self.hash[j]).to_bytes(8, "big") + self.text[a:a + n + LEAST - 1]
-                if suffixes.get(s, _NO_ID + 1) > d:
-                    suffixes[s] = int(d)
+                s = key + text[a:a + n + LEAST - 1]
+                if suffix_of(s, most) > d:
+                    suffixes[s] = d
         return suffixes, windows
 
-    def _flagged(self, flags: np.ndarray) -> Iterator[tuple[int, bool]]:
+    def _flagged(self, flags: np.ndarray) -> Iterator[tuple[bytes, int, int, int, bool]]:
+        """Hash, first window, windows, doc_id and heat of each stretch whose anchor is shared."""
         flag = flags[self.inverse] if len(self.inverse) else np.zeros(0, np.uint8)
-        for j in np.flatnonzero(flag).tolist():
-            yield j, flag[j] == 2
-
-    def removed(self, flags: np.ndarray, masks: dict[bytes, int], bits: dict[bytes, bool]) -> np.ndarray:
+        at = np.flatnonzero(flag)
+        keys = self.hash[at].astype(">u8").tobytes()
+        yield from zip(
+            (keys[i:i + 8] for i in range(0, len(keys), 8)), self.start[at].tolist(), self.windows[at].tolist(),
+            self.rank_id[self.doc[at]].tolist() if len(at) else [], (flag[at] == 2).tolist(),
+        )
+
+    def removed(
+        self, flags: np.ndarray, masks: dict[bytes, int], bits: dict[bytes, bool],
+        shared: tuple[dict, dict] | None = None,
+    ) -> np.ndarray:
         """Which bytes go, from the answers for the suffixes and windows that the run sent."""
-        suffixes, windows = self.shared(flags)
+        suffixes, windows = shared or self.shared(flags)
         open_at = np.zeros(len(self.text) + 1, np.int32)
         starts: list[int] = []
-        for j, hot in self._flagged(flags):
-            a, n, d = int(self.start[j]), int(self.windows[j]), int(self.rank_id[self.doc[j]])
+        text = self.text
+        for key, a, n, d, hot in self._flagged(flags):
             if hot:
-                for i in range(a, a + n):
-                    w = self.text[i:i + LEAST]
-                    if bits[w] or d > windows[w]:
-                        starts.append(i)
+                starts += [i for i in range(a, a + n) if bits[w := text[i:i + LEAST]] or d > windows[w]]
             else:
-                s = int(self.hash[j]).to_bytes(8, "big") + self.text[a:a + n + LEAST - 1]
-                mask = (1 << n) - 1 if d > suffixes[s] else masks[s]
+                s = key + text[a:a + n + LEAST - 1]
+                full = (1 << n) - 1
+                mask = full if d > suffixes[s] else masks[s]
+                if mask == full:
+                    starts.extend(range(a, a + n))
+                    continue
                 while mask:
                     low = mask & -mask
                     starts.append(a + low.bit_length() - 1)
@@ -264,59 +280,84 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
     top = winner[1] if size > 1 else 0
     while current[top] is not None:
         strings, prefixes = runs[top]
-        yield known[top], top, place[top]
-        place[top] += 1
-        if place[top] < len(strings):
-            current[top], known[top] = strings[place[top]], prefixes[place[top]]
+        at = place[top]
+        yield known[top], top, at
+        place[top] = at = at + 1
+        if at < len(strings):
+            current[top], mine = strings[at], prefixes[at]
         else:
-            current[top], known[top] = None, -1
+            current[top], mine = None, -1
         node = (top + size) // 2
         while node:
             other = loser[node]
-            if known[other] >= known[top] and beats(other, top):
-                loser[node], top = top, other
+            its = known[other]
+            if its > mine:
+                known[top] = mine
+                loser[node], top, mine = top, other, its
+            elif its == mine >= 0:
+                x, y = current[other], current[top]
+                if x == y:
+                    shared, first = len(x), other < top
+                else:
+                    shared, first = common_prefix(x, y, mine), x < y
+                if first:
+                    known[top] = shared
+                    loser[node], top = top, other
+                else:
+                    known[other] = shared
             node //= 2
+        known[top] = mine
 
 
 def answers(runs: list[tuple[list[bytes], list[int]]], ids: list[np.ndarray], hot: bool) -> list[np.ndarray]:
     """Per run and string: a bit per window, set if a smaller doc_id than the run's own has it."""
-    out = [np.zeros(len(r[0]), np.uint32) for r in runs]
+    out = [[0] * len(r[0]) for r in runs]
+    lists = [i.tolist() for i in ids]
     group: list[tuple[bytes, list[tuple[int, int, int]]]] = []
 
     def close() -> None:
-        if not group:
-            return
         if len(group) == 1:
             s, held = group[0]
-            least = min(d for *_, d in held)
+            if len(held) == 1:
+                return
+            least = min([d for *_, d in held])
             full = 1 if hot else (1 << len(s) - 8 - LEAST + 1) - 1
             for r, p, d in held:
                 if d > least:
                     out[r][p] = full
             return
         smallest: dict[bytes, int] = {}
+        cut = []
         for s, held in group:
-            least = min(d for *_, d in held)
-            for i in range(8, len(s) - LEAST + 1):
-                w = s[i:i + LEAST]
+            least = min([d for *_, d in held])
+            windows = [s[i:i + LEAST] for i in range(8, len(s) - LEAST + 1)]
+            cut.append(windows)
+            for w in windows:
                 if smallest.get(w, _NO_ID + 1) > least:
                     smallest[w] = least
-        for s, held in group:
-            found = [smallest[s[i:i + LEAST]] for i in range(8, len(s) - LEAST + 1)]
+        for (_, held), windows in zip(group, cut):
+            found = [smallest[w] for w in windows]
+            low, high = min(found), max(found)
             for r, p, d in held:
-                out[r][p] = sum(1 << i for i, least in enumerate(found) if least < d)
+                if high < d:
+                    out[r][p] = (1 << len(found)) - 1
+                elif low < d:
+                    out[r][p] = sum([1 << i for i, least in enumerate(found) if least < d])
 
+    same, n = LEAST if hot else 8, 0
     for prefix, r, p in merge(runs):
         s = runs[r][0][p]
-        if not (group and prefix >= (LEAST if hot else 8)):
+        if group and prefix < same:
             close()
             group = []
-        if group and prefix == len(s) == len(group[-1][0]):
-            group[-1][1].append((r, p, int(ids[r][p])))
+        if group and prefix == len(s) == n:
+            held.append((r, p, lists[r][p]))
         else:
-            group.append((s, [(r, p, int(ids[r][p]))]))
-    close()
-    return out
+            n, held = len(s), [(r, p, lists[r][p])]
+            group.append((s, held))
+    if group:
+        close()
+    return [np.array(o, np.uint32) for o in out]
 
 
 # --- the three exchanges -------------------------------------------------------
@@ -410,19 +451,21 @@ def _flags_of(row: dict) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.uint8)
 
 
-def _dealt(own: Run, flags: np.ndarray, ranges: int) -> Iterator[tuple[int, int, list[bytes], list[int]]]:
+def _dealt(shared: tuple[dict, dict], ranges: int) -> Iterator[tuple[int, int, list[bytes], list[int]]]:
     """kind, range, sorted strings and their smallest doc_ids: what a run sends and, again, what is answered."""
-    suffixes, windows = own.shared(flags)
-    for kind, found, place in (
-        (0, suffixes, lambda s: int.from_bytes(s[:8], "big") * ranges >> 64),
-        (1, windows, lambda w: zlib.crc32(w) * ranges >> 32),
-    ):
-        by_range: dict[int, list[bytes]] = {}
-        for s in found:
-            by_range.setdefault(place(s), []).append(s)
-        for r in sorted(by_range):
-            items = sorted(by_range[r])
-            yield kind, r, items, [found[s] for s in items]
+    suffixes, windows = shared
+    items = sorted(suffixes)
+    first = np.frombuffer(b"".join([s[:8] for s in items]), ">u8").astype(np.uint64)
+    cuts = np.searchsorted(first, np.array([-(-(r << 64) // ranges) for r in range(ranges)], np.uint64)).tolist()
+    for r, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(items)])):
+        if a < b:
+            yield 0, r, items[a:b], [suffixes[s] for s in items[a:b]]
+    by_range: dict[int, list[bytes]] = {}
+    for w in windows:
+        by_range.setdefault(zlib.crc32(w) * ranges >> 32, []).append(w)
+    for r in sorted(by_range):
+        items = sorted(by_range[r])
+        yield 1, r, items, [windows[w] for w in items]
 
 
 def window_answers(flagged: DataFrame, ranges: int) -> DataFrame:
@@ -431,7 +474,7 @@ def window_answers(flagged: DataFrame, ranges: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, own in _runs_in(batches):
             rows = []
-            for kind, r, items, ids in _dealt(own, _flags_of(row), ranges):
+            for kind, r, items, ids in _dealt(own.shared(_flags_of(row)), ranges):
                 pairs, tails = front_code(items)
                 rows.append((kind, r, row["run"], squeeze(pairs), squeeze(tails), squeeze(np.array(ids, "<i8").tobytes())))
             yield _batch(rows, ["kind", "range", "run", "pairs", "tails", "ids"],
@@ -460,9 +503,10 @@ def cut_documents(answered: DataFrame, ranges: int, with_text: bool) -> DataFram
             got = {(a["kind"], a["range"]): np.frombuffer(spread(a["masks"]), "<u4").tolist() for a in row["answers"] or []}
             masks: dict[bytes, int] = {}
             bits: dict[bytes, bool] = {}
-            for kind, r, items, _ in _dealt(own, flags, ranges):
+            shared = own.shared(flags)
+            for kind, r, items, _ in _dealt(shared, ranges):
                 (bits if kind else masks).update(zip(items, got[kind, r]))
-            gone = own.removed(flags, masks, bits)
+            gone = own.removed(flags, masks, bits, shared)
             rows, at = [], 0
             for doc_id, n in zip(own.doc_ids, own.lengths.tolist()):
                 mask = gone[at:at + n]
