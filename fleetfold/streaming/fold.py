@@ -26,8 +26,10 @@ FOLDED = (
 ENDS = "app_id string, seq bigint, phase string, action string, ts_ms bigint"
 
 
-def flatten(documents: DataFrame, check_all: bool = False, main_name: str = S.EXECUTOR_CONTAINER) -> DataFrame:
-    """Fixed-width columns of each document; a listing row remembers its listing.
+def flatten(
+    documents: DataFrame, check_all: bool = False, main_name: str = S.EXECUTOR_CONTAINER, more: tuple[str, ...] = ()
+) -> DataFrame:
+    """Fixed-width columns of each document, and ``more`` of its own; a listing row remembers its listing.
 
     A row with a null ``exec_id`` and a ``sync_ts`` announces a listing that may be empty.
     """
@@ -36,7 +38,7 @@ def flatten(documents: DataFrame, check_all: bool = False, main_name: str = S.EX
         P.state_code(check_all, main_name).alias("code"),
         P.start_ms().alias("start_ms"),
         F.when(F.col("sync_ts").isNotNull(), F.col("seq")).alias("sync_seq"),
-        "sync_ts",
+        "sync_ts", *more,
     )
 
 

@@ -17,6 +17,7 @@ from fleetfold import schema as S
 from fleetfold.operators.lifecycle import last_removals, missing_members, removal_once
 from fleetfold.operators.reconcile import reconcile
 from fleetfold.sources.log import COMPACT_EVERY, TableLog
+from fleetfold.sources.scratch import materialize
 from fleetfold.streaming.fold import FOLDED, flatten, fold_flat, present
 
 
@@ -198,8 +199,10 @@ def start_reconcile(
     waited = log("outstanding", "app_id string, outstanding bigint", ["app_id"])
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        now = clock.advance(batch, batch_id)
-        flat = flatten(batch)
+        # the batch is computed for each use of it, so it is written once
+        rows = materialize(batch, "round-rows")
+        now = clock.advance(rows, batch_id)
+        flat = rows.drop("ts_ms")
         keys = flat.select(*S.MEMBER).distinct()
         same = F.col("l.app_id").eqNullSafe(F.col("k.app_id")) & F.col("l.exec_id").eqNullSafe(F.col("k.exec_id"))
         before = members.read(before=batch_id).alias("l").join(keys.alias("k"), same, "left_semi")
@@ -229,4 +232,5 @@ def start_reconcile(
             last_ids.unionByName(given).groupBy("app_id").agg(F.max("last_id").alias("last_id")), batch_id
         )
 
-    return start_rounds(documents, checkpoint, step, **(trigger or {}))
+    # what a round does not need is left out before the batch, which is not pruned, is made
+    return start_rounds(flatten(documents, more=("ts_ms",)), checkpoint, step, **(trigger or {}))
