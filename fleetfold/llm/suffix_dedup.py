@@ -49,7 +49,7 @@ KEY_BITS = 44
 BLOCK = 1 << 15
 #: Windows of one suffix; their answers fit a 32-bit mask.
 MOST_WINDOWS = 31
-#: Words of a suffix's text and of a window, and windows that are compared at once (more if an anchor has more).
+#: Words of a suffix's text and of a window, and windows or strings that meet at once (more if an anchor has more).
 TEXT_WORDS, WINDOW_WORDS, AT_ONCE = (MOST_WINDOWS + LEAST - 1) // 8, -(-LEAST // 8), 1 << 18
 #: Strings that a run sorts at once.
 MOST_STRINGS = 3 << 18
@@ -545,6 +545,8 @@ def answers(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 # --- the three exchanges -------------------------------------------------------
 
+#: A row is megabytes, and the writer looks at its memory every 100 rows unless told otherwise.
+RUN_FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 RUNS = "run string, doc_ids array<bigint>, lengths array<bigint>, n_bytes bigint, text binary"
 
 
@@ -575,7 +577,7 @@ def stored_runs(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(run, RUNS), "suffix-runs")
+    return materialize(rows.mapInArrow(run, RUNS), "suffix-runs", RUN_FILES)
 
 
 def _runs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Run]]:
@@ -653,6 +655,31 @@ def _dealt(shared: tuple[dict, dict], ranges: int) -> Iterator[tuple[int, int, l
                 yield kind, r, items[a:b], [found[s] for s in items[a:b]]
 
 
+def met_strings(
+    keys: list[np.ndarray], ids: list[np.ndarray], pairs: list[np.ndarray], tails: list[np.ndarray],
+) -> list[np.ndarray]:
+    """The masks of each run's strings in a range, by slices of keys, so that few strings are spread at once."""
+    low, high = int(min(k[0] for k in keys)), int(max(k[-1] for k in keys)) + 1
+    slices = -(-sum(map(len, keys)) // AT_ONCE)
+    bounds = np.array([low + (high - low) * i // slices for i in range(slices + 1)], np.uint64)
+    cuts = [np.searchsorted(k, bounds).tolist() for k in keys]
+    words = [np.append(0, np.cumsum(-(-p[:, 1].astype(np.int64) // 8) - p[:, 0])) for p in pairs]
+    out: list[list[np.ndarray]] = [[] for _ in keys]
+    for i in range(slices):
+        some = [(n, slice(c[i], c[i + 1]), slice(w[c[i]], w[c[i + 1]])) for n, (c, w) in enumerate(zip(cuts, words)) if c[i] < c[i + 1]]
+        if not some:
+            continue
+        ends = np.cumsum([own.stop - own.start for _, own, _ in some])
+        strings = np.zeros((int(ends[-1]), TEXT_WORDS + 2), np.uint64)
+        np.concatenate([keys[n][own] for n, own, _ in some], out=strings[:, 0])
+        # a key's first string is whole in each run
+        decoded(np.concatenate([pairs[n][own] for n, own, _ in some]), np.concatenate([tails[n][w] for n, _, w in some]), strings[:, 1:])
+        found = answers(strings, np.concatenate([ids[n][own] for n, own, _ in some]))
+        for (n, *_), masks in zip(some, np.split(found, ends[:-1])):
+            out[n].append(masks)
+    return [np.concatenate(masks) for masks in out]
+
+
 def window_answers(flagged: DataFrame, ranges: int) -> DataFrame:
     """run, answers: per part and range, a mask for each string that the run sent."""
 
@@ -672,15 +699,13 @@ def window_answers(flagged: DataFrame, ranges: int) -> DataFrame:
                              [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = [np.frombuffer(spread(p), np.uint8).reshape(2, -1) for p in rows["pairs"]]
-        ends = np.cumsum([p.shape[1] for p in pairs])
-        strings = np.zeros((int(ends[-1]), TEXT_WORDS + 2), np.uint64)
-        np.concatenate([keys_of(g) for g in rows["gaps"]], out=strings[:, 0])
-        decoded(np.concatenate(pairs, axis=1).T, np.frombuffer(b"".join([spread(t) for t in rows["tails"]]), ">u8"), strings[:, 1:])
-        found = answers(strings, np.concatenate([from_planes(i, "<i8") for i in rows["ids"]]))
+        pairs = [np.frombuffer(spread(p), np.uint8).reshape(2, -1).T for p in rows["pairs"]]
+        masks = met_strings(
+            [keys_of(g) for g in rows["gaps"]], [from_planes(i, "<i8") for i in rows["ids"]], pairs,
+            [np.frombuffer(spread(t), ">u8") for t in rows["tails"]],
+        )
         return pd.DataFrame({
-            "run": rows["run"], "part": rows["part"], "range": rows["range"],
-            "masks": [planes(m.astype("<u4")) for m in np.split(found, ends[:-1])],
+            "run": rows["run"], "part": rows["part"], "range": rows["range"], "masks": [planes(m.astype("<u4")) for m in masks],
         })
 
     sent = flagged.mapInArrow(send, "range int, run string, part int, gaps binary, ids binary, pairs binary, tails binary")

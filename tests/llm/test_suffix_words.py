@@ -46,6 +46,19 @@ def brute(owns: list[S.Run]) -> list[np.ndarray]:
     return out
 
 
+def test_slices_of_keys_give_the_answers_of_the_whole(monkeypatch):
+    owns = runs(2, 3)
+    sent = [next(own.sent(f)) for own, f in zip(owns, some_flags(owns))]
+    want = S.answers(np.concatenate([s.rows for s in sent]), np.concatenate([s.ids for s in sent]))
+    sides = []
+    for s in sent:
+        other = np.flatnonzero(np.append(True, s.rows[1:, 0] != s.rows[:-1, 0]))
+        sides.append((s.rows[:, 0], s.ids, *S.coded(s.rows[:, 1:], other)[:2]))
+    for at_once in (1 << 18, 100, 3):
+        monkeypatch.setattr(S, "AT_ONCE", at_once)
+        assert np.array_equal(np.concatenate(S.met_strings(*map(list, zip(*sides)))), want)
+
+
 def some_flags(owns: list[S.Run]) -> list[np.ndarray]:
     """Every anchor shared, one in three hot; the same in all runs."""
     return [(1 + (own.keys % np.uint64(3) == 0)).astype(np.uint8) for own in owns]
